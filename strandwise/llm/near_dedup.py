@@ -3,7 +3,8 @@
 Every document's set of word shingles gets a signature of H minima. Each coordinate-value pair is a posting list.
 Two sets that agree in t of H coordinates share one of each other's H - t + 1 rarest postings, so only this prefix
 is posted (values that one set alone holds come first and cost nothing). Long lists are skipped: they first link
-every member to one member, and only members that are still in different components meet each other. Candidates
+their members to a few of them, and only members that are still in different components meet each other, in long
+lists by blocks. Candidates
 count their collisions over the whole signatures, and pairs at the match threshold or above are confirmed on full
 shingle sets.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from .common import blocks, cut, mix, shared_path
 from .components import connected_components
 from .shingles import minhashes, shingle_sets
 
+STARS = ((0,), (1, 2))  # the heads of each round, by the seeds that choose them in each list
+LIST = 64  # members up to which an open list is settled pair by pair
 FILTER_BITS = 4_194_301  # a prime; the filter's size doesn't grow with the data
 
 
@@ -84,6 +88,56 @@ def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     return sets.join(needed, ["rep", "fp"]).select("fp", "s").dropDuplicates(["fp"])
 
 
+def meet_in_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) between members (fp, c, cluster) of one cluster but different components c, on full sets.
+
+    A cluster's members are dealt into blocks; those of its largest component needn't meet each other. Each pair of
+    blocks is one group of about 2 * block sets, which returns a forest of its links, never its pairs.
+    """
+    sizes = members.groupBy("cluster", "c").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("cluster").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("top"))
+    dealt = members.join(largest.selectExpr("cluster", "top.c as top", "int(ceil(top.m / %d)) as most" % block, "int(ceil((n - top.m) / %d)) as rest" % block), "cluster").filter("rest > 0")
+    dealt = dealt.withColumn("big", F.col("c") == F.col("top")).withColumn("i", F.pmod(F.xxhash64("fp"), F.when(F.col("big"), F.col("most")).otherwise(F.col("rest"))).cast("int"))
+    rest, most = F.sequence(F.lit(0), F.col("rest") - 1), F.sequence(F.lit(0), F.col("most") - 1)
+    with_rest = F.transform(rest, lambda j: F.struct(F.lit(False).alias("k"), F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
+    with_most = F.transform(most, lambda j: F.struct(F.lit(True).alias("k"), F.col("i").alias("x"), j.alias("y")))
+    from_most = F.transform(rest, lambda j: F.struct(F.lit(True).alias("k"), j.alias("x"), F.col("i").alias("y")))
+    dealt = dealt.join(sets, "fp").select("cluster", "fp", "c", "s", F.explode(F.when(F.col("big"), from_most).otherwise(F.concat(with_rest, with_most))).alias("pair"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("fp")
+        held, n = group.s.tolist(), np.array([len(x) for x in group.s])
+        names, at = np.unique(np.concatenate(held), return_inverse=True)
+        owner = np.repeat(np.arange(len(n)), n)
+        common = np.zeros((len(n), len(n)), np.float32)
+        shared = np.flatnonzero(np.bincount(at) > 1)
+        place = np.full(len(names), -1)
+        place[shared] = np.arange(len(shared))
+        for start in range(0, len(shared), 8192):
+            here = (place[at] >= start) & (place[at] < start + 8192)
+            m = np.zeros((len(n), 8192), np.float32)
+            m[owner[here], place[at[here]] - start] = 1
+            common += m @ m.T
+        fp, c = group.fp.to_numpy(), group.c.to_numpy()
+        common = np.rint(common).astype(np.int64)
+        a, b = np.nonzero(np.triu((100 * common >= percent * (n[:, None] + n[None, :] - common)) & (c[:, None] != c[None, :]), 1))
+        root = {x: x for x in c.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if (u := find(int(c[i]))) != (v := find(int(c[j]))):
+                root[u] = v
+                out.append((int(fp[i]), int(fp[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("cluster", "pair").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = 48, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text).
 
@@ -110,38 +164,68 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     rare = posted.join(shared, "key").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("p")).filter(F.size("p") >= t)
     prefix = cut(rare.select("fp", F.explode(F.slice("p", F.lit(1), F.size("p") - (t - 1))).alias("e")).select("fp", "e.key"))
 
-    needed, sets, links, label = None, None, None, None
+    needed = sets = None
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that agree in t coordinates and whose full sets are similar enough."""
+    def have(ends: DataFrame) -> DataFrame:
+        """The full sets of all classes asked for so far, those of ends (fp, rep) among them."""
         nonlocal needed, sets
-        side = {x: sigs.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"}
-        near = pairs.join(side["a"], "a").join(side["b"], "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").filter(F.size(F.array_intersect("sa", "sb")) >= t)
-        near = cut(near.select("a", "b", "ra", "rb", "na", "nb"))
-        ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("ra").alias("rep")), F.struct(F.col("b").alias("fp"), F.col("rb").alias("rep")))).alias("e")).select("e.*").distinct()
         new = cut(ends if needed is None else ends.join(needed, ["fp", "rep"], "left_anti"))
         if needed is None or not new.isEmpty():
             full_sets(docs, new, k).write.option("compression", "zstd").parquet(where := shared_path(spark, "sets"))
             more = spark.read.parquet(where)
             needed, sets = (new, more) if needed is None else (needed.union(new), sets.union(more))
-        both = near.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+        return sets
+
+    def still_open(posted: DataFrame, label: DataFrame) -> DataFrame:
+        """Postings with their component c, of the lists that hold several components."""
+        named = posted.join(label, posted.fp == label.node, "left").withColumn("c", F.coalesce("label", "fp")).drop("node", "label")
+        several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
+        return named.join(several, "key")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that agree in t coordinates and whose full sets are similar enough."""
+        side = {x: sigs.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"}
+        near = pairs.join(side["a"], "a").join(side["b"], "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").filter(F.size(F.array_intersect("sa", "sb")) >= t)
+        near = cut(near.select("a", "b", "ra", "rb", "na", "nb"))
+        ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("ra").alias("rep")), F.struct(F.col("b").alias("fp"), F.col("rb").alias("rep")))).alias("e")).select("e.*").distinct()
+        full = have(ends)
+        both = near.join(full.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
-    # First each list links its members to one of them; then, where a list still holds several components, the
-    # members of different components meet.
-    heads = prefix.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = prefix.join(heads, "key").filter("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-    links = cut(confirmed(pairs))
-    label = connected_components(links)
-    inside = prefix.join(label, prefix.fp == label.node, "left").select("key", "fp", F.coalesce("label", "fp").alias("c"))
-    open_ = inside.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    inside = cut(inside.join(open_, "key"))
-    x, y = (inside.select("key", F.col("fp").alias(i), F.col("c").alias(f"c{i}")) for i in "ab")
-    cross = x.join(y, "key").filter("ca <> cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(confirmed(cross))
-    if not more.isEmpty():
-        label = connected_components(links.union(more))
+    # Rounds of stars: in each list that still holds several components, a few members are heads, and the others
+    # meet those heads that are not in their component. Pairs grow with the postings, not with their square.
+    links = cut(sigs.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    label, tested, inside = connected_components(links), links, prefix.withColumn("c", F.col("fp"))
+    for heads in STARS:
+        least = [F.min(F.struct(F.xxhash64("fp", "key", F.lit(i)).alias("h"), F.col("fp").alias("head"), F.col("c").alias("hc"))).alias(f"h{i}") for i in heads]
+        tops = inside.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1")
+        tops = tops.select("key", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in heads]))).alias("h")).select("key", "h.head", "h.hc")
+        pairs = inside.join(tops, "key").filter("hc <> c").select(F.least("head", "fp").alias("a"), F.greatest("head", "fp").alias("b")).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested, new = tested.union(pairs), cut(confirmed(pairs))
+        if not new.isEmpty():
+            links = links.union(new)
+            label = connected_components(links)
+        inside = cut(still_open(prefix, label))
+        if inside.isEmpty():
+            break
+    else:
+        size = inside.groupBy("key").agg(F.count("*").alias("m"))
+        # Short lists that are still open: their members meet in pairs, LIST of them for a posting at most.
+        x, y = (inside.join(size.filter(f"m <= {LIST}"), "key").select("key", F.col("fp").alias(i), F.col("c").alias(f"c{i}")) for i in "ab")
+        cross = x.join(y, "key").filter("ca <> cb and a < b").select("a", "b").distinct()
+        new = confirmed(cut(cross.join(tested, ["a", "b"], "left_anti")))
+        # Long ones: lists with common members form a cluster, whose sets meet in blocks.
+        long = cut(inside.join(size.filter(f"m > {LIST}"), "key").select("key", "fp", "c"))
+        if not long.isEmpty():
+            heads = long.groupBy("key").agg(F.min("fp").alias("a"))
+            cluster = connected_components(long.join(heads, "key").select("a", F.col("fp").alias("b")))
+            members = long.select("fp", "c").distinct().join(cluster, F.col("fp") == F.col("node")).select("fp", "c", F.col("label").alias("cluster"))
+            held = have(members.join(firsts, "fp").select("fp", "rep"))
+            new = new.union(meet_in_blocks(members, held, percent))
+        links = links.union(cut(new))
+        label = connected_components(links)
 
     label = cut(label.join(firsts, label.node == firsts.fp).select("fp", "label", "rep"))
     component = label.join(label.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "component_id")
