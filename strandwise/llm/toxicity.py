@@ -1,14 +1,15 @@
 """Operator 1: toxicity by a factorization machine over hashed terms.
 
-score = sigmoid(b + sum of w[t] + half of (|sum of v[t]|^2 - sum of |v[t]|^2)) over a text's distinct hashed terms,
-so that pairs of terms count beside single ones. The model is fitted on a bounded, hash-chosen sample of labelled
-rows; terms whose weights the penalty holds at zero are left out, and every whole text is scored in a narrow map.
+score = sigmoid(b + sum of w[t] x[t] + half of (|sum of v[t] x[t]|^2 - sum of |v[t] x[t]|^2)) over a text's distinct
+hashed terms, x growing with the logarithm of their counts, so that pairs of terms count beside single ones. The model is fitted on a bounded, hash-chosen sample of labelled
+rows; terms that tell nothing in that sample are left out, and every whole text is scored in a narrow map.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,86 +32,97 @@ class Machine:
     w: np.ndarray
     v: np.ndarray
 
-    def score(self, rows: np.ndarray) -> float:
-        s, v = self.w[rows].sum(), self.v[rows]
+    def score(self, terms: dict[int, int]) -> float:
+        """terms: counts by row of w and v."""
+        rows, x = list(terms), weight(list(terms.values()))
+        s, v = self.w[rows] @ x, self.v[rows] * x[:, None]
         z = self.bias + s + 0.5 * float((v.sum(0) ** 2).sum() - (v**2).sum())
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
 class Hasher:
-    """The distinct buckets of a text's lower-cased terms; a worker remembers a bounded number of terms."""
+    """The distinct buckets of a text's lower-cased words and of their first 4, 5 and 6 letters, so that a stem's
+    other endings count too; a worker remembers a bounded number of words."""
 
     def __init__(self, buckets: int, at: np.ndarray | None = None):
         self.buckets, self.at, self.memo = buckets, at, {}
 
-    def bucket(self, term: str) -> int:
-        b = zlib.crc32(term.encode()) % self.buckets
-        b = b if self.at is None else int(self.at[b])
+    def hits(self, word: str) -> tuple[int, ...]:
+        found = {zlib.crc32(t.encode()) % self.buckets for t in (word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n))}
+        if self.at is not None:
+            found = {int(b) for b in self.at[list(found)] if b >= 0}
         if len(self.memo) >= 400_000:
             self.memo.clear()
-        self.memo[term] = b
-        return b
+        self.memo[word] = out = tuple(found)
+        return out
 
-    def __call__(self, text: str) -> list[int]:
-        known = self.memo
-        found = {known[t] if t in known else self.bucket(t) for t in set(_terms(text.lower()))}
-        found.discard(-1)
-        return sorted(found)
+    def __call__(self, text: str) -> dict[int, int]:
+        known, found = self.memo, {}
+        for w, n in Counter(_terms(text.lower())).items():
+            for b in known[w] if w in known else self.hits(w):
+                found[b] = found.get(b, 0) + n
+        return dict(sorted(found.items()))
+
+
+def weight(counts) -> np.ndarray:
+    """x of a term that a text holds so many times."""
+    return np.log2(1.0 + np.asarray(counts, float))
 
 
 def hashed_terms(docs: DataFrame, buckets: int) -> DataFrame:
-    """(y, terms): label and distinct buckets of each row of docs (text, y)."""
+    """(y, terms, counts): label, distinct buckets and their counts of each row of docs (text, y)."""
 
     def run(batches):
         hashed = Hasher(buckets)
         for batch in batches:
             for part in blocks(batch, "text"):
                 terms = [hashed(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(terms, pa.list_(pa.int32()))], ["y", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column("y"), *(pa.array([list(x) for x in y], pa.list_(pa.int32())) for y in (terms, [t.values() for t in terms]))], ["y", "terms", "counts"])
 
-    return docs.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, terms array<int>")
+    return docs.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, terms array<int>, counts array<int>")
 
 
-def fit(y: np.ndarray, terms: list[np.ndarray], buckets: int, factors: int = 8, epochs: int = 16, batch: int = 512, rate: float = 0.05, penalty: float = 2e-3, seed: int = 5) -> Machine:
-    """Proximal Adam on the logistic loss; terms of fewer than 4 sample texts are left out. No rows give score 0.5,
-    labels of one kind their share."""
+def fit(y: np.ndarray, terms: list[np.ndarray], buckets: int, factors: int = 8, steps: int = 400, rate: float = 0.1, screen: float = 25.0, penalty: float = 5e-4, seed: int = 5) -> Machine:
+    """terms has each text's buckets and counts. Screens the buckets, then fits the machine on those kept by Adam on the penalised logistic loss.
+
+    A bucket is kept if label 1 is commoner in its texts (4 at least) than in all and the log-likelihood ratio of that
+    is over screen, so that the thousands of indifferent terms of a long text add no noise. Equal term sets of one label count once. No
+    rows give score 0.5, labels of one kind their smoothed share.
+    """
+    seen = {(float(v), t[0].tobytes()): i for i, (v, t) in enumerate(zip(y, terms, strict=True))}
+    y, terms = y[list(seen.values())], [terms[i] for i in seen.values()]
     share = (y.sum() + 0.5) / (len(y) + 1)
-    flat = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
-    keep = np.flatnonzero(np.bincount(flat, minlength=buckets) >= 4)
-    at = np.full(buckets, -1, np.int32)
-    at[keep] = np.arange(len(keep))
-    rows = [r[r >= 0] for r in (at[np.asarray(t, np.int64)] for t in terms)]
-    rng, n = np.random.default_rng(seed), len(keep)
-    x = np.zeros((n + 1, factors + 1), np.float64)  # w, then v; the last row is the bias
-    x[:n, 1:] = rng.normal(0, 0.02, (n, factors))
+    counts, terms = [t[1] for t in terms], [t[0] for t in terms]
+    flat = np.concatenate([*terms, np.zeros(0, np.int64)])
+    df = np.bincount(flat, minlength=buckets)
+    bad = np.bincount(flat, np.repeat(y, [len(t) for t in terms]), buckets)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (np.nan_to_num(bad * np.log(bad / (df * share))) + np.nan_to_num((df - bad) * np.log((df - bad) / (df * (1 - share)))))
+    keep = np.flatnonzero((df >= 4) & (bad > df * share) & (gain > screen)) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
+    n, at = len(keep), np.full(buckets, -1, np.int32)
+    at[keep] = np.arange(n)
+    own, cols = np.repeat(np.arange(len(y)), [len(t) for t in terms]), at[flat]
+    own, a, cols = own[cols >= 0], weight(np.concatenate([*counts, np.zeros(0)])[cols >= 0]), cols[cols >= 0].astype(np.int64)
+    x = np.zeros((n + 1, factors + 1))  # w, then v; the last row is the bias
+    x[:n, 1:] = np.random.default_rng(seed).normal(0, 0.05, (n, factors))
     x[n, 0] = np.log(share / (1 - share))
-    m, s, step = np.zeros_like(x), np.zeros_like(x), 0
-    for epoch in range(epochs if n and 0 < y.sum() < len(y) else 0):
-        for ids in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-            held = [rows[i] for i in ids]
-            sizes = np.array([len(h) for h in held])
-            own, cols = np.repeat(np.arange(len(ids)), sizes), np.concatenate(held)
-            v = x[cols, 1:]
-            sums = np.stack([np.bincount(own, v[:, f], len(ids)) for f in range(factors)], 1)
-            z = x[n, 0] + np.bincount(own, x[cols, 0], len(ids)) + 0.5 * ((sums**2).sum(1) - np.bincount(own, (v**2).sum(1), len(ids)))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[ids]) / len(ids)
-            grad = np.zeros_like(x)
-            grad[:n, 0] = np.bincount(cols, g[own], n)
-            gv = g[own, None] * (sums[own] - v)
-            for f in range(factors):
-                grad[:n, f + 1] = np.bincount(cols, gv[:, f], n)
-            grad[n, 0] = g.sum()
-            step += 1
-            m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
-            pace = rate * (1 - epoch / epochs) + 1e-3
-            x -= pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-4)
-            x[:n, 0] = np.sign(x[:n, 0]) * np.maximum(0, np.abs(x[:n, 0]) - pace * penalty * 10)
-            norm = np.sqrt((x[:n, 1:] ** 2).sum(1, keepdims=True))
-            x[:n, 1:] *= np.maximum(0, 1 - pace * penalty * 10 / np.maximum(norm, 1e-9))
-    used = np.flatnonzero(np.abs(x[:n]).sum(1) > 0)
-    at = np.full(buckets, -1, np.int32)
-    at[keep[used]] = np.arange(len(used))
-    return Machine(buckets, float(x[n, 0]), at, x[used, 0], x[used, 1:])
+    weigh = np.full_like(x, penalty)
+    weigh[:, 0], weigh[n] = penalty / 50, 0
+    m, s = np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, steps + 1 if n else 1):
+        v = x[cols, 1:] * a[:, None]
+        sums = np.stack([np.bincount(own, v[:, f], len(y)) for f in range(factors)], 1)
+        z = x[n, 0] + np.bincount(own, x[cols, 0] * a, len(y)) + 0.5 * ((sums**2).sum(1) - np.bincount(own, (v**2).sum(1), len(y)))
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        grad = x * weigh
+        grad[:n, 0] += np.bincount(cols, g[own] * a, n)
+        gv = (g[own] * a)[:, None] * (sums[own] - v)
+        for f in range(factors):
+            grad[:n, f + 1] += np.bincount(cols, gv[:, f], n)
+        grad[n, 0] = g.sum()
+        m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
+        x -= rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+    return Machine(buckets, float(x[n, 0]), at, x[:n, 0], x[:n, 1:])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, buckets: int = 1 << 18) -> Machine:
@@ -119,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, buckets: int =
     # One row for each label kept: sample rows at most, so this side may be broadcast.
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y")).dropna().orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     rows = hashed_terms(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")), buckets).collect()
-    rows.sort(key=lambda r: (r.terms, r.y))
-    return fit(np.array([r.y for r in rows], float), [np.array(r.terms, np.int64) for r in rows], buckets)
+    rows.sort(key=lambda r: (r.terms, r.counts, r.y))
+    return fit(np.array([r.y for r in rows], float), [np.array([r.terms, r.counts], np.int64) for r in rows], buckets)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -134,7 +146,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         hashed = Hasher(it.buckets, it.at)
         for batch in batches:
             for part in blocks(batch, "text", 4 << 20):
-                out = [it.score(np.array(hashed(t or ""), np.int64)) for t in part.column("text").to_pylist()]
+                out = [it.score(hashed(t or "")) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], [*part.schema.names, "score"])
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
