@@ -23,7 +23,7 @@ from .common import blocks, cut, mix, shared_path
 from .components import connected_components
 from .shingles import minhashes, shingle_sets
 
-STARS = ((0,), (1, 2))  # the heads of each round, by the seeds that choose them in each list
+STARS = ((0,), (1,))  # the heads of each round, by the seeds that choose them in each list
 LIST = 64  # members up to which an open list is settled pair by pair
 FILTER_BITS = 4_194_301  # a prime; the filter's size doesn't grow with the data
 
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     # Rounds of stars: in each list that still holds several components, a few members are heads, and the others
     # meet those heads that are not in their component. Pairs grow with the postings, not with their square.
     links = cut(sigs.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
-    label, tested, inside = connected_components(links), links, prefix.withColumn("c", F.col("fp"))
+    label, tested, inside = None, links, prefix.withColumn("c", F.col("fp"))
     for heads in STARS:
         least = [F.min(F.struct(F.xxhash64("fp", "key", F.lit(i)).alias("h"), F.col("fp").alias("head"), F.col("c").alias("hc"))).alias(f"h{i}") for i in heads]
         tops = inside.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1")
@@ -204,8 +204,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
         pairs = inside.join(tops, "key").filter("hc <> c").select(F.least("head", "fp").alias("a"), F.greatest("head", "fp").alias("b")).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         tested, new = tested.union(pairs), cut(confirmed(pairs))
-        if not new.isEmpty():
-            links = links.union(new)
+        links = links.union(new)
+        if label is None or not new.isEmpty():
             label = connected_components(links)
         inside = cut(still_open(prefix, label))
         if inside.isEmpty():
