@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     few = e.count() <= ONE_TASK
     for _ in range(rounds):
         e = e.coalesce(1) if few else e
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
@@ -36,4 +36,5 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node").union(e.select("v", "v").distinct()).groupBy("node").agg(F.min("label").alias("label"))
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label")))).alias("e"))
+    return ends.select("e.*").groupBy("node").agg(F.min("label").alias("label"))
