@@ -28,6 +28,7 @@ from .common import blocks
 
 LEAF = 4096  # characters of a leaf
 MEMO = 200_000  # pieces that a worker remembers
+ROWS = 256  # rows that are decoded at once
 SHORT = 96  # bytes up to which a piece is merged in one go
 
 
@@ -192,7 +193,9 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         it = coder(path, pattern)
         for batch in batches:
-            out = [it.decode(x) if x else b"" for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                out = [it.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     return coded.mapInArrow(run, coded.withColumn("decoded", F.lit(None).cast("binary")).schema)
