@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -104,7 +105,7 @@ class Coder:
 
     def code(self, piece: str) -> bytes:
         """The ids of one piece as int32 bytes."""
-        found = np.array(self.piece(piece), np.int32).tobytes()
+        found = array("i", self.piece(piece)).tobytes()
         if len(piece) <= SHORT:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
