@@ -10,6 +10,8 @@ import public_tokenizers
 from . import bpe
 from .common import read_table
 from .language import language_id
+from .line_dedup import line_dedup
+from .mixing import mix_plan
 from .near_dedup import near_duplicates
 from .toxicity import toxicity
 
@@ -19,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     how = (path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), *how).drop("text")
@@ -26,6 +33,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return bpe.decode(coded, *how).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -36,12 +48,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_mixing": op6_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
 SQL = {
+    "op4_line_dedup": r"""
+        WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+        totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+        lines AS (
+            SELECT source, line, count(*) AS n
+            FROM (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages)
+            WHERE trim(line) <> '' GROUP BY source, line
+        ), bad AS (
+            SELECT l.source, list(l.line) AS bad FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
+            WHERE l.n >= 5 AND l.n > CAST(0.1 AS DOUBLE) * t.pages GROUP BY l.source
+        ), cut AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(b.bad, []), x)) AS kept
+            FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source
+        ), done AS (
+            SELECT doc_id, text, lines, CASE WHEN len(list_filter(kept, lambda x: trim(x) <> '')) > 0 THEN kept ELSE lines END AS kept FROM cut
+        )
+        SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_dropped,
+            length(array_to_string(kept, chr(10))) AS kept_chars, md5(array_to_string(kept, chr(10))) AS kept_md5
+        FROM done
+    """,
     "op7_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
