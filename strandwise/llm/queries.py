@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe
-from .common import read_table
+from . import bpe, media, secrets
+from .common import read_table, shared_path
 from .language import language_id
 from .line_dedup import line_dedup
 from .mixing import mix_plan
@@ -21,6 +21,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.learn(docs)).drop("text")
+    base = F.filter("found", lambda x: x["kind"] != "format")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), count("format"), F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
@@ -42,16 +51,27 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media.store(read_table(spark, sf_dir, "documents"), path := shared_path(spark, "media"))
+    payload = F.expr("substring(media, 45)")
+    return media.load(spark, path).select(
+        "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(media, length(media) - 31, 32)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_secrets": op2_secrets,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_media": op8_media,
     "op10_language_id": op10_language_id,
 }
 
