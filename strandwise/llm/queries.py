@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, media, secrets
+from . import bpe, media, secrets, warc
 from .common import read_table, shared_path
+from .hnsw import nearest
 from .language import language_id
 from .line_dedup import line_dedup
 from .mixing import mix_plan
@@ -30,6 +31,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), count("format"), F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
@@ -60,6 +66,12 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve(warc.captures(read_table(spark, sf_dir, "pages")))
+    joined = F.array_join(F.transform("headers", lambda x: F.concat_ws(": ", x["name"], x["value"])), "\n")
+    return out.select("record_id", "state", F.coalesce("response_id", F.lit(-1)).alias("response_id"), F.md5(joined).alias("headers_md5"), F.md5("body").alias("body_md5"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -67,11 +79,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
+    "op3_hnsw": op3_hnsw,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_media": op8_media,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
 
@@ -118,4 +132,31 @@ SQL = {
         SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id, coalesce(l.component_id, d.doc_id) = d.doc_id AS kept
         FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN low l USING (doc_id)
     """,
+    "op9_warc": r"""
+        WITH split AS (
+            SELECT page_id, html, trim(url) AS url, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['h', 'p', 'q']) AS u
+            FROM pages
+        ), sites AS (
+            SELECT page_id, html, regexp_replace(regexp_replace(lower(u.h), ':(80|443)$', ''), '^www\.', '') || regexp_replace(u.p, '/+$', '') ||
+                CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS site
+            FROM (SELECT *, list_sort(list_filter(string_split(u.q, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN
+                ('fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) AS q FROM split)
+        ), full_ AS (SELECT page_id, html, site, page_id * 10 AS ts FROM sites),
+        again AS (
+            SELECT page_id, html, site, CASE WHEN page_id % 7 = 6 THEN page_id * 10 - 5 ELSE page_id * 10 + 5 END AS ts,
+                CASE WHEN page_id % 5 = 4 THEN '"other"' WHEN page_id % 5 <> 3 THEN '"' || md5(html) || '"' END AS tag
+            FROM sites
+        ), found AS (
+            SELECT a.page_id, a.tag, f.page_id AS response, f.html AS body, CASE WHEN f.page_id IS NULL THEN 'no_response'
+                WHEN a.tag IS NULL THEN 'unchecked' WHEN a.tag = '"' || md5(f.html) || '"' THEN 'resolved' ELSE 'mismatch' END AS state
+            FROM again a ASOF LEFT JOIN full_ f ON a.site = f.site AND a.ts >= f.ts
+        )
+        SELECT page_id * 2 + 1 AS record_id, state, coalesce(response * 2, -1) AS response_id,
+            CASE WHEN state IN ('resolved', 'unchecked') THEN md5(
+                'content-type: text/html' || chr(10) || 'content-length: ' || length(body) || chr(10) ||
+                CASE WHEN tag IS NULL THEN 'etag: "' || md5(body) || '"' ELSE 'etag: W/' || tag END || chr(10) ||
+                'date: t' || (page_id + 1) || chr(10) || 'cache-control: max-age=60' || chr(10) || 'x-cache: HIT') END AS headers_md5,
+            CASE WHEN state IN ('resolved', 'unchecked') THEN md5(body) END AS body_md5
+        FROM found
+    """,
 }
