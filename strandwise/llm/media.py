@@ -21,7 +21,7 @@ from .common import blocks, utf8
 
 UNIT = 576  # the payload is a multiple of so many bytes
 LEAST, MEAN_BITS, MOST = 256, 10, 4096  # bytes of a chunk: least, mean as a power of two over the least, most
-BITS = 4_194_301
+BITS = 33_554_393  # of the table, whose size doesn't grow with the data
 RATE = 8000
 _GEAR = np.random.default_rng(23).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -64,8 +64,8 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _bit(d: bytes) -> int:
-    return int.from_bytes(d[:8], "big") % BITS
+def _key(d: bytes) -> int:
+    return int.from_bytes(d[:8], "big", signed=True)
 
 
 def header(n: int) -> bytes:
@@ -76,7 +76,7 @@ def header(n: int) -> bytes:
 def _keyed(batches):
     for batch in batches:
         for part in blocks(batch, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([_bit(digest(c)) for own in chunks(payloads(part.column("text"))) for c in own], pa.int64())], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(digest(c)) for own in chunks(payloads(part.column("text"))) for c in own], pa.int64())], ["key"])
 
 
 def store(docs: DataFrame, path: str) -> None:
@@ -84,12 +84,17 @@ def store(docs: DataFrame, path: str) -> None:
     bytes 255; repeated rows get a manifest each over the same chunks; an empty table gives empty tables."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    often = texts.select("text").mapInArrow(_keyed, "bit long").groupBy("bit").agg(F.count("*").alias("n")).filter("n > 1")
-    words = often.selectExpr("int(bit div 64) as w", "shiftleft(1L, int(bit % 64)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    often = texts.select("text").mapInArrow(_keyed, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    bits = often.select(F.pmod("key", F.lit(BITS)).alias("bit"))
+    words = bits.selectExpr("int(bit div 64) as w", "shiftleft(1L, int(bit % 64)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     table = np.zeros(BITS // 64 + 1, np.uint64)
     for r in words:
         table[r.w] = r.b & (2**64 - 1)
-    held = spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little"))
+    held = spark.sparkContext.broadcast(table)
+
+    def repeats(d: bytes) -> int:
+        at = _key(d) % BITS
+        return int(held.value[at >> 6]) >> (at & 63) & 1
 
     def manifests(batches):
         kind = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
@@ -97,13 +102,13 @@ def store(docs: DataFrame, path: str) -> None:
             for part in blocks(batch, "text"):
                 sizes = np.diff(utf8(part.column("text"))[1])
                 items = payloads(part.column("text"))
-                lists = [[{"digest": (d := digest(c)), "data": None if held.value[_bit(d)] else c} for c in own] for own in chunks(items)]
+                lists = [[{"digest": (d := digest(c)), "data": None if repeats(d) else c} for c in own] for own in chunks(items)]
                 yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(sizes), pa.array([header(len(x)) for x in items], pa.binary()), pa.array(lists, kind)], ["rid", "doc_id", "n_bytes", "header", "chunks"])
 
     def pooled(batches):
         for batch in batches:
             for part in blocks(batch, "text"):
-                found = {d: c for own in chunks(payloads(part.column("text"))) for c in own if held.value[_bit(d := digest(c))]}
+                found = {d: c for own in chunks(payloads(part.column("text"))) for c in own if repeats(d := digest(c))}
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], ["digest", "data"])
 
     rows = texts.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(manifests, "rid long, doc_id long, n_bytes long, header binary, chunks array<struct<digest binary, data binary>>")
