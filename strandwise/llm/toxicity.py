@@ -7,6 +7,7 @@ rows; terms that tell nothing in that sample are left out, and every whole text
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -82,27 +83,27 @@ def hashed_terms(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, terms array<int>, counts array<int>")
 
 
-def fit(y: np.ndarray, terms: list[np.ndarray], buckets: int, factors: int = 8, steps: int = 400, rate: float = 0.1, screen: float = 25.0, penalty: float = 5e-4, seed: int = 5) -> Machine:
-    """terms has each text's buckets and counts. Screens the buckets, then fits the machine on those kept by Adam on the penalised logistic loss.
+def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], buckets: int, factors: int = 8, steps: int = 400, rate: float = 0.1, screen: float = 25.0, penalty: float = 5e-4, seed: int = 5) -> Machine:
+    """terms and counts are each text's buckets and how often it holds them. Screens the buckets, then fits the machine on those kept by Adam on the penalised logistic loss.
 
     A bucket is kept if label 1 is commoner in its texts (4 at least) than in all and the log-likelihood ratio of that
     is over screen, so that the thousands of indifferent terms of a long text add no noise. Equal term sets of one label count once. No
     rows give score 0.5, labels of one kind their smoothed share.
     """
-    seen = {(float(v), t[0].tobytes()): i for i, (v, t) in enumerate(zip(y, terms, strict=True))}
-    y, terms = y[list(seen.values())], [terms[i] for i in seen.values()]
+    seen = {(float(v), hashlib.sha256(t.tobytes()).digest()): i for i, (v, t) in enumerate(zip(y, terms, strict=True))}
+    y, terms, counts = y[list(seen.values())], [terms[i] for i in seen.values()], [counts[i] for i in seen.values()]
     share = (y.sum() + 0.5) / (len(y) + 1)
-    counts, terms = [t[1] for t in terms], [t[0] for t in terms]
-    flat = np.concatenate([*terms, np.zeros(0, np.int64)])
+    flat = np.concatenate([*terms, np.zeros(0, np.int32)])
     df = np.bincount(flat, minlength=buckets)
-    bad = np.bincount(flat, np.repeat(y, [len(t) for t in terms]), buckets)
+    bad = np.bincount(np.concatenate([*(t for t, v in zip(terms, y, strict=True) if v), np.zeros(0, np.int32)]), minlength=buckets)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.nan_to_num(bad * np.log(bad / (df * share))) + np.nan_to_num((df - bad) * np.log((df - bad) / (df * (1 - share)))))
     keep = np.flatnonzero((df >= 4) & (bad > df * share) & (gain > screen)) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
     n, at = len(keep), np.full(buckets, -1, np.int32)
     at[keep] = np.arange(n)
-    own, cols = np.repeat(np.arange(len(y)), [len(t) for t in terms]), at[flat]
-    own, a, cols = own[cols >= 0], weight(np.concatenate([*counts, np.zeros(0)])[cols >= 0]), cols[cols >= 0].astype(np.int64)
+    own, cols = np.repeat(np.arange(len(y), dtype=np.int32), [len(t) for t in terms]), at[flat]
+    held = cols >= 0
+    own, a, cols = own[held], weight(np.concatenate([*counts, np.zeros(0, np.int32)])[held]), cols[held].astype(np.int64)
     x = np.zeros((n + 1, factors + 1))  # w, then v; the last row is the bias
     x[:n, 1:] = np.random.default_rng(seed).normal(0, 0.05, (n, factors))
     x[n, 0] = np.log(share / (1 - share))
@@ -130,9 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, buckets: int =
     out; a doc_id with several labels or texts gives a row for each."""
     # One row for each label kept: sample rows at most, so this side may be broadcast.
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y")).dropna().orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = hashed_terms(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")), buckets).collect()
-    rows.sort(key=lambda r: (r.terms, r.counts, r.y))
-    return fit(np.array([r.y for r in rows], float), [np.array([r.terms, r.counts], np.int64) for r in rows], buckets)
+    rows = hashed_terms(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")), buckets).toArrow()
+    y, lists = rows.column("y").to_numpy().astype(float), []
+    for name in ("terms", "counts"):  # views of the columns, of a few bytes a term
+        lists.append([x.values.to_numpy() for chunk in rows.column(name).chunks for x in chunk])
+    pairs = sorted(zip(y, *lists, strict=True), key=lambda r: (r[1].tobytes(), r[2].tobytes(), r[0]))
+    return fit(np.array([r[0] for r in pairs]), [r[1] for r in pairs], [r[2] for r in pairs], buckets)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
