@@ -27,7 +27,7 @@ def bucket(z: Column) -> Column:
 def mantissa(z: Column) -> Column:
     """The bits of z below its leading one."""
     b = bit_len(z)
-    return F.when(b <= 1, F.lit(0)).otherwise(z.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b - 1) - 1)).cast("long")
+    return F.when(b <= 1, F.lit(0)).otherwise(z.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b - 1))).cast("long")
 
 
 def join_bucket(b: Column, m: Column) -> Column:

@@ -84,7 +84,7 @@ def learn(signals: DataFrame, atoms: int, iterations: int, sparsity: int | None
 
         sums = coded.select("vec", "terms").mapInPandas(moments, "atom int, pos int, x double").groupBy("atom", "pos").agg(F.sum("x").alias("x"))
 
-        def turn(key, group: pd.DataFrame) -> pd.DataFrame:
+        def turn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             x = group.sort_values("pos").x.to_numpy()
             m = x.reshape(int(round(len(x) ** 0.5)), -1)
             v = held.value[key[0]]

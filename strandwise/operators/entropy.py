@@ -103,7 +103,7 @@ def encode(symbols: DataFrame, keys: list[str], slice_len: int = 1 << 16) -> Dat
     rows = symbols.withColumn("slice", F.expr(f"int(pos div {slice_len})"))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, "slice").schema)
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         own = group.sort_values("pos").symbol.astype(int).tolist()
         counts = np.bincount(own).tolist()
         return pd.DataFrame([[*key, len(own), counts, rans_encode(own, frequencies(counts))]], columns=[*keys, "slice", "n", "counts", "payload"])

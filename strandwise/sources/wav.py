@@ -120,7 +120,7 @@ def contents(blocks: DataFrame, rate: int, fmt: str, raw: bool = False) -> DataF
     """(path, content): a whole file for each path of blocks (path, channel, block, samples). Blocks are interleaved and
     packed each in its own group; a file is only put together from those parts."""
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(group.sort_values("channel").samples.to_list(), 1)
         return pd.DataFrame([[key[0], key[1], len(v), v.shape[1], pack(v.ravel(), fmt)]], columns=["path", "block", "n", "channels", "data"])
 
