@@ -57,7 +57,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(full[a : b - k + 1]))
         elif b > a:
-            short = np.uint64(b - a) * odd[k]
+            short = np.array([b - a], np.uint64) * odd[k]
             for j in range(b - a):
                 short = short + mix(words[a + j : a + j + 1] * odd[j])
             out.append(mix(short))

@@ -88,11 +88,11 @@ def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], bucket
 
     A bucket is kept if label 1 is commoner in its texts (4 at least) than in all and the log-likelihood ratio of that
     is over screen, so that the thousands of indifferent terms of a long text add no noise. Equal term sets of one label count once. No
-    rows give score 0.5, labels of one kind their smoothed share.
+    rows give score 0.1, labels of one kind their smoothed share.
     """
     seen = {(float(v), hashlib.sha256(t.tobytes()).digest()): i for i, (v, t) in enumerate(zip(y, terms, strict=True))}
     y, terms, counts = y[list(seen.values())], [terms[i] for i in seen.values()], [counts[i] for i in seen.values()]
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    share = (y.sum() + 0.1) / (len(y) + 1)
     flat = np.concatenate([*terms, np.zeros(0, np.int32)])
     df = np.bincount(flat, minlength=buckets)
     bad = np.bincount(np.concatenate([*(t for t, v in zip(terms, y, strict=True) if v), np.zeros(0, np.int32)]), minlength=buckets)
@@ -160,7 +160,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: float = 0.3, sample: int
     """docs with held_out, score and predicted (1 where score >= limit).
 
     labels is (doc_id, toxic); rows whose crc32(doc_id as text) mod 4 is 2 are held out of the learning. A null
-    doc_id is not held out. No labels: every score is 0.5. An empty table gives no rows.
+    doc_id is not held out. No labels: every score is 0.1. An empty table gives no rows.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     machine = train(docs, labels.filter(~out).select("doc_id", F.col("toxic").alias("y")), sample)
