@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import bpe
-from strandwise.llm.common import read_table, shared_path
+from strandwise.llm.common import read_table, shared_path, small_batches
 from strandwise.llm.line_dedup import line_dedup
 from strandwise.llm.mixing import mix
 from strandwise.llm.near_dedup import near_duplicates
@@ -24,22 +24,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; n_chars follows the text."""
+    small_batches(spark)
     return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
-    gone = near_duplicates(docs, k=5, percent=80).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more. Of rows repeated
+    with one doc_id and text one stays; rows without doc_id all stay."""
+    small_batches(spark)
+    found = near_duplicates(docs, k=5, percent=80).filter("doc_id is not null")
+    seen = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 or not kept")
+    out = docs.join(seen, "doc_id", "left").filter("kept is null or kept")
+    once = out.filter("n > 1").dropDuplicates(["doc_id", "text"])
+    return out.filter("n is null").select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by the copies that the mix takes of them."""
+    small_batches(spark)
     return mix(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, the token ids' digest and that of the bytes they decode to."""
+    small_batches(spark)
     how = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = bpe.encode(docs.select("doc_id", "source", "text"), *how).drop("text")
     coded = coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))

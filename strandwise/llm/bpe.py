@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import blocks
 
 LEAF = 4096  # characters of a leaf
-MEMO = 200_000  # pieces that a worker remembers
+MEMO = 100_000  # pieces that a worker remembers
 ROWS = 256  # rows that are decoded at once
 SHORT = 96  # bytes up to which a piece is merged in one go
 
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         it = coder(path, pattern)
         for batch in batches:
-            for part in blocks(batch, "text", 4 << 20):
+            for part in blocks(batch, "text"):
                 codes = [it.encode(t) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
                 ends = np.cumsum([0] + [len(c) for c in codes]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32)))

@@ -52,7 +52,7 @@ class Hasher:
         found = {zlib.crc32(t.encode()) % self.buckets for t in (word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n))}
         if self.at is not None:
             found = {int(b) for b in self.at[list(found)] if b >= 0}
-        if len(self.memo) >= 400_000:
+        if len(self.memo) >= 150_000:
             self.memo.clear()
         self.memo[word] = out = tuple(found)
         return out
@@ -149,7 +149,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         it = held.value
         hashed = Hasher(it.buckets, it.at)
         for batch in batches:
-            for part in blocks(batch, "text", 4 << 20):
+            for part in blocks(batch, "text"):
                 out = [it.score(hashed(t or "")) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], [*part.schema.names, "score"])
 
