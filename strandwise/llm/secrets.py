@@ -3,7 +3,8 @@
 Base patterns give labelled credentials. For each kind the prefix tree of a bounded sample of them, over character
 classes, is merged: two states become one where a Hoeffding test finds their endings and successors compatible
 (ALERGIA). A candidate's score is the log-likelihood ratio, in bits a character, of the best kind's automaton against
-a model of ordinary tokens; candidates over a limit, set between the two samples, are added to the base spans.
+a model of ordinary tokens, learned from candidates that are plainly words, paths, dates and the like; candidates over a
+limit, set between those and held-out credentials, are added to the base spans.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+# A token that is no secret to the eye: between its signs stand words, with a short number or none, and numbers.
+_PLAIN = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8})(?:[+/_.=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*")
 # Classes of characters and their sizes: the letters of hex digits, other lower case, upper case, digits, signs.
 _CLASS = {c: k for k, cs in enumerate(("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_.=-")) for c in cs}
 _SIZE = (6, 20, 26, 10, 6)
@@ -153,25 +156,34 @@ class Scanner:
 
 
 def infer(credentials: dict[str, list[str]], ordinary: list[str], margin: float = 0.1) -> Scanner:
-    """The limit lies margin bits over the best ordinary token, and at the lowest twentieth of credentials at least;
-    without credentials or ordinary tokens nothing is added to the base."""
-    trees = []
+    """The ordinary model is made of the plain tokens of ordinary alone, so unlabelled secrets among them neither teach it
+    nor lift the limit. The limit lies halfway from the plain tokens' upper hundredth to the lowest twentieth of
+    credentials held out of their automata, margin bits over that hundredth and over 0 at least; without credentials or
+    plain tokens nothing is added to the base."""
+    trees, halves, held = [], [], []
     for _, values in sorted(credentials.items()):
-        tree = Automaton()
-        for v in sorted(values):
-            tree.add(v)
-        trees.append(tree.merge())
+        values = sorted(set(values))
+        trees.append(_tree(values).merge())
+        halves.append(_tree(values[::2]).merge())
+        held += values[1::2] or values
     # Ordinary tokens come in few formats; a looser test keeps their automaton small.
-    plain = Automaton()
-    for v in sorted(ordinary):
-        plain.add(v)
-    scanner = Scanner(trees, plain.merge(0.01))
-    own = sorted(scanner.score(v) for values in credentials.values() for v in values)
-    if own and ordinary:
-        scanner.limit = max(max(map(scanner.score, ordinary)) + margin, own[len(own) // 20])
+    tokens = sorted(v for v in set(ordinary) if _PLAIN.fullmatch(v))
+    scanner = Scanner(trees, _tree(tokens).merge(0.01))
+    if held and tokens:
+        own = sorted(map(Scanner(halves, scanner.ordinary).score, held))
+        rest = sorted(map(scanner.score, tokens))
+        high = rest[(len(rest) * 99 - 1) // 100]
+        scanner.limit = max(margin, high + margin, (high + own[len(own) // 20]) / 2)
     return scanner
 
 
+def _tree(values: list[str]) -> Automaton:
+    tree = Automaton()
+    for v in values:
+        tree.add(v)
+    return tree
+
+
 def learn(docs: DataFrame, texts: int = 20_000, values: int = 400) -> Scanner:
     """Infers from a sample of about so many texts, chosen by a hash of the text, and so many values of a kind."""
     share = min(1.0, texts / max(1, docs.count()))

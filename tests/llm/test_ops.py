@@ -87,6 +87,25 @@ def test_secrets_infer_format(spark):
     assert [(secrets.KINDS[k], b - a) for a, k, b in scanner.spans(text)] == [("format", 40)]
 
 
+@pytest.mark.parametrize("share", [1, 40])
+def test_secrets_unlabelled_in_the_sample(spark, share):
+    """Secrets without a keyword are in the texts learned from, too; they must neither teach the ordinary model nor lift
+    the limit."""
+    rng = random.Random(share)
+    key = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    both = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, own = [], {}
+    for i in range(400):
+        plain = re.sub("[0-9 ]", "", words(rng, 6)) + f" example.com/2024/page{i % 9}/{words(rng, 1)}.html"
+        label = ("AKIA" + key("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), key("0123456789abcdef", 40), "token=" + key(both, 32), "")[i % 4]
+        if i < share * 4 and i % 4 == 3:
+            own[i] = key("0123456789ABCDEF", 40) if i % 8 == 3 else key(both, 32)
+        rows.append((i, f"{plain} {label} {own.get(i, '')} end", "a", "en"))
+    df = docs(spark, rows)
+    found = {r.doc_id: [r.text[x.start : x.end] for x in r.found if x.kind == "format"] for r in secrets.scan(df, secrets.learn(df)).collect()}
+    assert sum(found[i] == [k] for i, k in own.items()) >= 0.95 * len(own) and not any(found[i] for i in found if i not in own)
+
+
 def test_secrets_edges(spark):
     scanner = secrets.learn(edges(spark))
     got = secrets.scan(edges(spark), scanner).collect()
