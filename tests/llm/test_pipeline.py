@@ -47,6 +47,22 @@ def test_pipeline(spark, tmp_path):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(body.encode()).hexdigest())
 
 
+def test_lines_of_a_hot_source_go(spark):
+    """A line and a long passage in 3 and 2 of 100 pages of a source with half of all rows, and a line in 8 of its 1,000 pages
+    that is no boilerplate."""
+    rng, rows = random.Random(4), []
+    line, passage, clean = "Read more in our weekly letter", text(rng, 400), "So it goes"
+    for i in range(2000):
+        hot, body = i < 1000, [text(rng, 12), text(rng, 12)]
+        extra = [line] * (hot and i % 100 < 3) + [passage] * (hot and 50 <= i % 100 < 52) + [clean] * (hot and i % 125 == 99)
+        extra += [line] * (i == 1999)
+        rows.append((i, "\n".join([body[0], *extra, body[1]]), "en", "hot" if hot else f"s{i % 10}", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    want = {i: "\n".join(x for x in t.split("\n") if i >= 1000 or x not in (line, passage)) for i, t, *_ in rows}
+    assert got == want and sum(clean in t for t in got.values()) == 8 and line in got[1999]
+
+
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "same words in both of these rows", "en", "a", 1)] * 3 + [(2, "other words in this row of ours", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == [1, 2]
