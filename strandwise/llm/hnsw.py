@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,13 +143,20 @@ def search(x: np.ndarray, levels: list, q: np.ndarray, k: int, width: int) -> np
     return np.concatenate(out)
 
 
+def direction(v: Column) -> Column:
+    """v over its largest component: the same doubles for vectors that are exact multiples of each other. Zeros lose their
+    sign; what can't be divided is null."""
+    top = F.array_max(F.transform(v, lambda e: F.abs(e)))
+    return F.transform(v, lambda e: F.try_divide(e, top) + F.lit(0.0))
+
+
 def classes(vectors: DataFrame, keep: int) -> DataFrame:
-    """(cls, dim, v, ids) of the equal valid vectors of vectors (vec_id, embedding): the class's keep smallest ids.
-    Longer lists can't matter: a query takes fewer from one class."""
+    """(cls, dim, v, ids) of the valid vectors of one direction in vectors (vec_id, embedding): the class's keep smallest
+    ids. Longer lists can't matter: a query takes fewer from one class, as all its cosines are equal."""
     v = F.col("embedding").cast("array<double>")
     good = F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
     rows = vectors.filter(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long"), v.alias("v"))
-    rows = rows.withColumn("v", F.transform("v", lambda e: e + F.lit(0.0))).withColumn("cls", F.concat_ws("-", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
+    rows = rows.withColumn("v", direction(F.col("v"))).withColumn("cls", F.concat_ws("-", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
     first = W.partitionBy("cls").orderBy("vec_id")
     rows = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= keep)
     return rows.groupBy("cls").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("cls", F.size("v").alias("dim"), "v", "ids")
@@ -182,7 +189,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int = 96,
     graph = spark.read.parquet(path)
 
     asked = queries.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
-    v = F.transform(F.col("embedding").cast("array<double>"), lambda e: e + F.lit(0.0))
+    v = direction(F.col("embedding").cast("array<double>"))
     asked = asked.withColumn("q", F.concat_ws("-", F.xxhash64(v), F.xxhash64(F.lit(1), v))).select("query_id", "q")
     texts = asked.select("q").distinct().join(known, F.col("q") == F.col("cls")).select("dim", "q", "v")
     blocks = texts.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -140,6 +140,17 @@ def test_nearest_recall_and_copies(spark):
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_ties_of_multiples(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-50, 50, 8)
+    rows = [(i, (v * (i + 1)).astype(float).tolist()) for i in range(24)] + [(100 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df, df.filter("vec_id < 24"), 3, shard=30).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [i for _, i in sorted(own)] for q, own in got.items()} == {q: [i for i in range(24) if i != q][:3] for q in range(24)}
+
+
 # 4
 
 
