@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPACE = (9, 10, 11, 12, 13, 32)
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 4 << 20  # bytes of an Arrow batch
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names or the session was given.
+    ValueError where there is none, since a folder of one machine would lose what executors elsewhere write."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        if not (named := spark.conf.get("spark.checkpoint.dir", None)):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -33,11 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's Arrow batches to rows texts, since each batch is held whole on both sides of a Python worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: its lineage is cut and its size known."""
+    spark = df.sparkSession
+    df.write.option("compression", "zstd").parquet(path := shared_path(spark, name))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH bytes, since each batch is held whole on both sides of a Python worker;
+    a limit that the caller has chosen stays. Only queries and the pipeline call this."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, str(BATCH))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,25 +8,20 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-ONE_TASK = 100_000  # edges up to which one task holds them all and nothing is shuffled
-
-
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node of its component.
 
     Null ends and self-loops link nothing; repeated edges count once; no edges give no rows. Only a row count and
-    a checksum reach the driver. Up to ONE_TASK edges are drawn into one task, which then needs no exchange; more stay
-    spread, with an exchange for each star.
+    a checksum reach the driver. RuntimeError if that doesn't settle within rounds.
     """
+    # Each round is cut once; minima are cut on their own, so that the join with them is one of two plain exchanges, whose
+    # hot keys Spark splits.
     e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = cut(e), None
-    few = e.count() <= ONE_TASK
     for _ in range(rounds):
-        e = e.coalesce(1) if few else e
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = cut(small.select("e.*").filter("u <> v").distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -11,6 +13,7 @@ _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
+PIECE = 1 << 18  # bytes that are hashed at once
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -19,28 +22,50 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1 of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            a = np.full(max(n, 1 << 20), base, np.uint64)
+            a = np.full(max(n, PIECE), base, np.uint64)
             a[0] = 1
             _powers[i] = np.multiply.accumulate(a)
     return _powers[0][:n], _powers[1][:n]
 
 
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE bytes that end behind a space, so that no word lies in two; a longer word is one range."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + PIECE)
+        if end < len(data):
+            spaces = np.flatnonzero(_IS_SPACE[data[at:end]])
+            if len(spaces):
+                end = at + int(spaces[-1]) + 1
+            while end < len(data) and not len(spaces):
+                spaces = np.flatnonzero(_IS_SPACE[data[end : end + PIECE]])
+                end = end + int(spaces[0]) + 1 if len(spaces) else min(len(data), end + PIECE)
+        yield at, end
+        at = end
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, A-Z folded to a-z, and the n + 1 offsets of each text's words."""
+    """Hashes of the words of all texts in order, A-Z folded to a-z, and the n + 1 offsets of each text's words. Work arrays
+    are those of a piece, whatever a text's length."""
     data, offsets = utf8(column)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _IS_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
-    begins = np.flatnonzero(~space & (first[:-1] | np.concatenate(([True], space[:-1]))))
-    ends = np.flatnonzero(~space & (first[1:] | np.concatenate((space[1:], [True]))))
-    up, down = _power(len(data))
-    total = np.cumsum(_BYTE[data] * up)
-    hashes = total[ends]
-    later = begins > 0
-    hashes[later] -= total[begins[later] - 1]
-    return mix(hashes * down[begins]), np.searchsorted(begins, offsets)
+    hashes, places = [], []
+    for at, stop in _pieces(data):
+        part, edge = data[at:stop], first[at : stop + 1]
+        space = _IS_SPACE[part]
+        begins = np.flatnonzero(~space & (edge[:-1] | np.concatenate(([True], space[:-1]))))
+        ends = np.flatnonzero(~space & (edge[1:] | np.concatenate((space[1:], [True]))))
+        up, down = _power(len(part))
+        total = np.cumsum(_BYTE[part] * up)
+        own = total[ends]
+        later = begins > 0
+        own[later] -= total[begins[later] - 1]
+        hashes.append(mix(own * down[begins]))
+        places.append(begins + at)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
