@@ -11,7 +11,7 @@ from strandwise.llm import bpe
 from strandwise.llm.common import read_table, shared_path, small_batches
 from strandwise.llm.line_dedup import line_dedup
 from strandwise.llm.mixing import mix
-from strandwise.llm.near_dedup import near_duplicates
+from strandwise.llm.near_dedup import drop_near_duplicates
 from strandwise.llm.toxicity import toxicity
 
 #: Share of its source's pages over which a line is boilerplate. On the tables given, lines planted as boilerplate are held
@@ -33,13 +33,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more. Of rows repeated
-    with one doc_id and text one stays; rows without doc_id all stay."""
+    with one doc_id and text one stays; so does one of a group of rows without doc_id."""
     small_batches(spark)
-    found = near_duplicates(docs, k=5, percent=80).filter("doc_id is not null")
-    seen = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 or not kept")
-    out = docs.join(seen, "doc_id", "left").filter("kept is null or kept")
-    once = out.filter("n > 1").dropDuplicates(["doc_id", "text"])
-    return out.filter("n is null").select(*COLUMNS).union(once.select(*COLUMNS))
+    return drop_near_duplicates(docs, k=5, percent=80).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
