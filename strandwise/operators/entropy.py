@@ -27,14 +27,16 @@ def entropy_bits(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def frequencies(counts: list[int]) -> list[int]:
-    """Frequencies that add up to 2**BITS: in proportion, rounded down, one at least for each symbol. What lacks goes to
-    the largest; what is over is taken one by one from the largest of the time that is over one (the lowest symbol of
-    equals). No counts: all alike before that repair."""
-    total, n = sum(counts), len(counts)
+    """Frequencies that add up to 2**BITS: in proportion, rounded down, one at least for each symbol that was counted and none
+    for the others. What lacks goes to the largest; what is over is taken one by one from the largest of the time that is
+    over one (the lowest symbol of equals). No counts: all alike, the remainder to the first symbols."""
+    total, n, whole = sum(counts), len(counts), 1 << BITS
     if not n:
         return []
-    out = [max(1, c * (1 << BITS) // total) if total else max(1, (1 << BITS) // n) for c in counts]
-    gap = (1 << BITS) - sum(out)
+    if not total:
+        return [whole // n + (i < whole % n) for i in range(n)]
+    out = [max(1, c * whole // total) if c else 0 for c in counts]
+    gap = whole - sum(out)
     if gap > 0:
         out[out.index(max(out))] += gap
     for _ in range(-gap):

@@ -10,7 +10,7 @@ from ..functions import arrays, intcode
 from ..operators import dictionary, entropy, features, harmonic, islands, scan, signal, similarity, wavelet
 from . import codec
 
-SMALL = CodecConfig(min_block=64, max_block=512, energy_threshold=0.5, zcr_threshold=0.2, wavelet_levels=3, max_harmonics=4, slice_len=4096, lsh_tables=2, lsh_bits=6)
+SMALL = CodecConfig(min_block=64, max_block=512, energy_threshold=0.5, zcr_threshold=0.2, flux_threshold=4000.0, wavelet_levels=3, max_harmonics=4, slice_len=4096, lsh_tables=2, lsh_bits=6)
 PLAIN = CodecConfig(min_block=64, max_block=512, energy_threshold=0.5, wavelet_levels=3, harmonic=False, graph=False, slice_len=4096)
 ATOMS = 16
 
@@ -159,7 +159,7 @@ def spectral_flux(spark, d):
 
 
 def boundaries(spark, d):
-    return features.boundaries(_delta(spark, d, "event_type"), SMALL, with_flux=False)
+    return features.boundaries(_delta(spark, d, "event_type"), SMALL)
 
 
 def segments(spark, d):
@@ -204,7 +204,7 @@ def cosine_pairs(spark, d):
 
 
 def block_graph(spark, d):
-    return similarity.references(lsh_candidates(spark, d), _vectors(spark, d), 0.5).withColumn("similarity", F.round("similarity", 5))
+    return similarity.references(lsh_candidates(spark, d), _vectors(spark, d), 0.3).withColumn("similarity", F.round("similarity", 5))
 
 
 def _named_blocks(spark, d):
@@ -212,10 +212,10 @@ def _named_blocks(spark, d):
 
 
 def _chain(spark, d):
-    """Each block refers to the one before, when both have the same length."""
+    """Each block refers to the one before, when both have the same length: chains as long as a series."""
     rows = _blocks(spark, d).select("series", "block", F.size("samples").alias("n"))
     name = lambda b: F.concat_ws("/", "series", F.lpad(b.cast("string"), 6, "0"))
-    return rows.filter("n = 64 and block % 4 > 0").select(name(F.col("block")).alias("tgt"), name(F.col("block") - 1).alias("ref"))
+    return rows.filter("n = 64 and block > 0").select(name(F.col("block")).alias("tgt"), name(F.col("block") - 1).alias("ref"))
 
 
 def graph_delta(spark, d):
@@ -263,7 +263,7 @@ def autocorr_f0(spark, d):
 
 def goertzel(spark, d):
     rows = harmonic.goertzel(_delta(spark, d), 10.0, 4)
-    return rows.select("series", "k", F.round("amplitude", 3).alias("amplitude"))
+    return rows.select("series", "k", F.round("amplitude", 3).alias("amplitude"), F.round("phase", 6).alias("phase"))
 
 
 def harmonic_roundtrip(spark, d):
@@ -336,9 +336,14 @@ _FEATURES = """, signs AS (SELECT *, lag(v) OVER (PARTITION BY series ORDER BY i
     chg AS (SELECT *, abs(energy - lag(energy) OVER o) / greatest(lag(energy) OVER o, 1.0) AS energy_change, abs(zcr - lag(zcr) OVER o) AS zcr_change
         FROM feat WINDOW o AS (PARTITION BY series ORDER BY win))"""
 _SPECTRUM = """, spec AS (SELECT series, win, bin, sqrt(re * re + im * im) AS magnitude FROM (
-    SELECT series, idx // 16 AS win, bin, sum(v * cos(2 * pi() * bin * (idx % 16) / 16)) AS re, sum(v * sin(2 * pi() * bin * (idx % 16) / 16)) AS im
-    FROM delta, (SELECT unnest(range(0, 9)) AS bin) GROUP BY ALL))"""
-_EDGES = _del("event_type") + _FEATURES.format(w=64) + """, edges AS (SELECT series, win, coalesce(CAST(energy_change AS FLOAT) > CAST(0.5 AS FLOAT) OR CAST(zcr_change AS FLOAT) > CAST(0.2 AS FLOAT), false) AS edge FROM chg)"""
+    SELECT series, idx // {w} AS win, bin, sum(v * cos(2 * pi() * bin * (idx % {w}) / {w})) AS re, sum(v * sin(2 * pi() * bin * (idx % {w}) / {w})) AS im
+    FROM delta, (SELECT unnest(range(0, {w} // 2 + 1)) AS bin) GROUP BY ALL))"""
+_FLUX = _SPECTRUM + """, wins AS (SELECT series, idx // {w} AS win, count(*) AS n FROM delta GROUP BY ALL),
+    gap AS (SELECT b.series, b.win, sqrt(sum((b.magnitude - a.magnitude) ** 2)) / {w} AS flux FROM spec b JOIN spec a ON a.series = b.series AND a.win = b.win - 1 AND a.bin = b.bin GROUP BY ALL),
+    flux AS (SELECT s.series, s.win, CASE WHEN s.n >= 2 AND p.n >= 2 THEN g.flux ELSE 0.0 END AS flux
+        FROM wins s LEFT JOIN wins p ON p.series = s.series AND p.win = s.win - 1 LEFT JOIN gap g ON g.series = s.series AND g.win = s.win)"""
+_EDGES = _del("event_type") + (_FEATURES + _FLUX).format(w=64) + """, edges AS (SELECT series, win, coalesce(CAST(energy_change AS FLOAT) > CAST(0.5 AS FLOAT) OR CAST(zcr_change AS FLOAT) > CAST(0.2 AS FLOAT)
+    OR CAST(flux AS FLOAT) > CAST(4000 AS FLOAT), false) AS edge FROM chg JOIN flux USING (series, win))"""
 _SEGMENTS = "WITH RECURSIVE " + _EDGES + """, size AS (SELECT series, count(*) AS n FROM sig GROUP BY series),
     seg AS (
         SELECT series, 0 AS seg, CAST(0 AS BIGINT) AS "offset", n FROM size
@@ -390,10 +395,8 @@ _ALL = {
         b AS (SELECT series, win, n, CASE WHEN hi > lo THEN least(CAST(floor((v - lo) / (hi - lo) * 64) AS BIGINT), 63) ELSE 0 END AS bin, count(*) AS c FROM w JOIN e USING (series, win) GROUP BY ALL)
         SELECT series, win, round(sum(-(c / n) * log2(c / n)), 6) AS entropy FROM b GROUP BY ALL"""),
     "feature_changes": (feature_changes, f"WITH {_del()}{_FEATURES.format(w=16)} SELECT series, win, round(energy_change, 6) AS energy_change, round(zcr_change, 6) AS zcr_change FROM chg"),
-    "magnitude_spectrum": (magnitude_spectrum, f"WITH {_del()}{_SPECTRUM} SELECT series, win, bin, round(magnitude, 3) AS magnitude FROM spec"),
-    "spectral_flux": (spectral_flux, f"""WITH {_del()}{_SPECTRUM}, size AS (SELECT series, idx // 16 AS win, count(*) AS n FROM delta GROUP BY ALL),
-        gap AS (SELECT b.series, b.win, sqrt(sum((b.magnitude - a.magnitude) ** 2)) / 16 AS flux FROM spec b JOIN spec a ON a.series = b.series AND a.win = b.win - 1 AND a.bin = b.bin GROUP BY ALL)
-        SELECT s.series, s.win, round(CASE WHEN s.n >= 2 AND p.n >= 2 THEN g.flux ELSE 0.0 END, 3) AS flux FROM size s LEFT JOIN size p ON p.series = s.series AND p.win = s.win - 1 LEFT JOIN gap g ON g.series = s.series AND g.win = s.win"""),
+    "magnitude_spectrum": (magnitude_spectrum, f"WITH {_del()}{_SPECTRUM.format(w=16)} SELECT series, win, bin, round(magnitude, 3) AS magnitude FROM spec"),
+    "spectral_flux": (spectral_flux, f"WITH {_del()}{_FLUX.format(w=16)} SELECT series, win, round(flux, 3) AS flux FROM flux"),
     "boundaries": (boundaries, f"WITH {_EDGES} SELECT series, win, edge FROM edges"),
     "segments": (segments, f'{_SEGMENTS} SELECT series, seg, "offset", length FROM segs'),
     "segment_offsets": (segment_offsets, f'{_SEGMENTS} SELECT series, seg, length, CAST(sum(length) OVER (PARTITION BY series ORDER BY seg) AS BIGINT) - length AS "offset" FROM segs'),
@@ -408,13 +411,13 @@ _ALL = {
     "lsh_candidates": (lsh_candidates, f"WITH {_LSH} SELECT ref, tgt, first_table FROM cand"),
     "cosine_pairs": (cosine_pairs, f"WITH {_LSH} SELECT ref, tgt, round(similarity, 5) AS similarity FROM cos_"),
     "block_graph": (block_graph, f"""WITH {_LSH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY tgt ORDER BY round(similarity, 9) DESC, first_table, ref) AS r FROM cos_)
-        SELECT tgt, ref, round(similarity, 5) AS similarity FROM ranked WHERE r = 1 AND round(similarity, 9) >= 0.5"""),
+        SELECT tgt, ref, round(similarity, 5) AS similarity FROM ranked WHERE r = 1 AND round(similarity, 9) >= 0.3"""),
     "graph_delta": (graph_delta, f"""WITH {_BLOCKS} SELECT a.id, b.id AS ref, CAST(a.pos AS INTEGER) AS pos, a.v - coalesce(b.v, 0) AS v FROM named a
-        LEFT JOIN named b ON b.series = a.series AND b.block = a.block - 1 AND b.pos = a.pos AND a.n = 64 AND a.block % 4 > 0"""),
+        LEFT JOIN named b ON b.series = a.series AND b.block = a.block - 1 AND b.pos = a.pos AND a.n = 64"""),
     "graph_restore": (graph_restore, f"WITH {_BLOCKS} SELECT id, CAST(pos AS INTEGER) AS pos, v FROM named"),
     "context_entropy": (context_entropy, f"WITH {_SYMBOLS}, t AS (SELECT series, band, sum(n) AS t FROM hist GROUP BY ALL) SELECT series, band, CAST(sum(n) AS BIGINT) AS n, round(sum(-n * log2(n / t)), 4) AS bits FROM hist JOIN t USING (series, band) GROUP BY ALL"),
     "prob_table": (prob_table, f"""WITH {_SYMBOLS}, t AS (SELECT series, band, CAST(sum(n) AS BIGINT) AS t, max(symbol) AS top FROM hist GROUP BY ALL),
-        dense AS (SELECT d.series, d.band, d.symbol, greatest(1, coalesce(n, 0) * 16384 // t) AS f FROM (SELECT *, unnest(range(0, top + 1)) AS symbol FROM t) d LEFT JOIN hist h ON h.series = d.series AND h.band = d.band AND h.symbol = d.symbol),
+        dense AS (SELECT d.series, d.band, d.symbol, CASE WHEN n > 0 THEN greatest(1, n * 16384 // t) ELSE 0 END AS f FROM (SELECT *, unnest(range(0, top + 1)) AS symbol FROM t) d LEFT JOIN hist h ON h.series = d.series AND h.band = d.band AND h.symbol = d.symbol),
         fixed AS (SELECT *, f + CASE WHEN row_number() OVER (PARTITION BY series, band ORDER BY f DESC, symbol) = 1 THEN 16384 - CAST(sum(f) OVER (PARTITION BY series, band) AS BIGINT) ELSE 0 END AS freq FROM dense)
         SELECT series, band, CAST(symbol AS INTEGER) AS symbol, freq, CAST(sum(freq) OVER (PARTITION BY series, band ORDER BY symbol) AS BIGINT) - freq AS start FROM fixed"""),
     "adaptive_counts": (adaptive_counts, f"WITH {_SYMBOLS} SELECT series, band, pos, symbol, row_number() OVER (PARTITION BY series, band, symbol ORDER BY pos) - 1 AS seen FROM sym"),
@@ -428,7 +431,7 @@ _ALL = {
         b AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY r DESC, lag) AS o FROM r)
         SELECT series, CASE WHEN r >= 0.05 THEN lag ELSE 0 END AS lag, round(r, 6) AS r FROM b WHERE o = 1"""),
     "goertzel": (goertzel, f"""WITH {_del()}, s AS (SELECT series, k, sum(v * cos(2 * pi() * k * idx / 10)) AS re, sum(v * sin(2 * pi() * k * idx / 10)) AS im, count(*) AS n
-        FROM (SELECT *, unnest(range(1, 5)) AS k FROM delta) GROUP BY ALL) SELECT series, CAST(k AS INTEGER) AS k, round(sqrt(re * re + im * im) * 2 / n, 3) AS amplitude FROM s"""),
+        FROM (SELECT *, unnest(range(1, 5)) AS k FROM delta) GROUP BY ALL) SELECT series, CAST(k AS INTEGER) AS k, round(sqrt(re * re + im * im) * 2 / n, 3) AS amplitude, round(atan2(-im, re), 6) AS phase FROM s"""),
     "harmonic_roundtrip": (harmonic_roundtrip, f"WITH {_BLOCKS} SELECT id, CAST(pos AS INTEGER) AS pos, v FROM named"),
     "mp_step1": (mp_step1, f"""WITH dbl AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
         d AS (SELECT s.id, CAST(a.id AS INTEGER) AS atom, list_dot_product(s.vec, a.vec) / sqrt(list_dot_product(a.vec, a.vec)) AS d FROM dbl s, dbl a WHERE a.id < {ATOMS}),
