@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,19 +39,9 @@ def changes(features: DataFrame) -> DataFrame:
     return neighbours(features, ["series"], make, before=1, pos="win")
 
 
-def spectrum(samples: DataFrame, win: int) -> DataFrame:
-    """(series, win, bin, magnitude): the discrete Fourier transform of each window as sums over its samples, padded with
-    zeros to the next power of two."""
-    size = 1 << max(0, win - 1).bit_length()
-    angle = F.col("bin") * (F.col("idx") % win) * (2 * math.pi / size)
-    rows = samples.withColumn("win", F.expr(f"idx div {win}")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(size // 2))))
-    sums = rows.groupBy("series", "win", "bin").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
-    return sums.select("series", "win", "bin", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))
-
-
-def flux(samples: DataFrame, win: int) -> DataFrame:
-    """(series, win, flux): distance of each window's magnitude spectrum from that of the window before, by sample.
-    Vectorised over Arrow batches, one row of samples a window; needs two samples on each side, else 0."""
+def _windows(samples: DataFrame, win: int) -> DataFrame:
+    """(series, win, n, m): samples of each tumbling window and the magnitudes of its discrete Fourier transform, padded
+    with zeros to the next power of two. Vectorised over Arrow batches, one row of samples a window."""
     items = samples.groupBy("series", F.expr(f"idx div {win}").alias("win")).agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("a"))
     size = 1 << max(0, win - 1).bit_length()
 
@@ -61,13 +49,39 @@ def flux(samples: DataFrame, win: int) -> DataFrame:
     def magnitudes(col: pd.Series) -> pd.Series:
         return pd.Series([np.abs(np.fft.rfft(np.asarray(x, np.float64), size)) for x in col])
 
-    rows = items.select("series", "win", F.size("a").alias("n"), magnitudes(F.transform("a", lambda x: x["v"].cast("double"))).alias("m"))
+    return items.select("series", "win", F.size("a").alias("n"), magnitudes(F.transform("a", lambda x: x["v"].cast("double"))).alias("m"))
+
+
+def spectrum(samples: DataFrame, win: int) -> DataFrame:
+    """(series, win, bin, magnitude): the magnitude spectrum of each window. An empty table gives no rows."""
+    return _windows(samples, win).select("series", "win", F.posexplode("m").alias("bin", "magnitude"))
+
+
+def transform(blocks: DataFrame, inverse: bool = False) -> DataFrame:
+    """blocks (re, im arrays of equal length) with their discrete Fourier transform, both padded with zeros to the next power
+    of two; the inverse divides by the length. Null or empty arrays give empty ones."""
+
+    @F.pandas_udf("struct<re array<double>, im array<double>>")
+    def turned(re: pd.Series, im: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(re, im, strict=True):
+            x = np.asarray([] if a is None else a, np.float64) + 1j * np.asarray([] if b is None else b, np.float64)
+            y = (np.fft.ifft if inverse else np.fft.fft)(x, 1 << max(0, len(x) - 1).bit_length()) if len(x) else x
+            out.append((y.real, y.imag))
+        return pd.DataFrame(out, columns=["re", "im"])
+
+    return blocks.withColumn("t_", turned("re", "im")).withColumn("re", F.col("t_.re")).withColumn("im", F.col("t_.im")).drop("t_")
+
+
+def flux(samples: DataFrame, win: int) -> DataFrame:
+    """(series, win, flux): distance of each window's magnitude spectrum from that of the window before, by sample; needs two
+    samples on each side, else 0."""
 
     def make(w):
         gap = F.zip_with("m", F.lag("m").over(w), lambda x, y: (x - y) * (x - y))
         return {"flux": F.when((F.col("n") >= 2) & (F.lag("n").over(w) >= 2), F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)) / win).otherwise(0.0)}
 
-    return neighbours(rows, ["series"], make, before=1, pos="win").select("series", "win", "flux")
+    return neighbours(_windows(samples, win), ["series"], make, before=1, pos="win").select("series", "win", "flux")
 
 
 def boundaries(samples: DataFrame, cfg: CodecConfig, with_flux: bool = True) -> DataFrame:

@@ -10,13 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def autocorrelation(samples: DataFrame, low: int, high: int) -> DataFrame:
-    """(series, lag, r): normalised autocorrelation at lags low to high, by a join of each sample with the later one."""
-    a = samples.withColumn("lag", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("to", F.col("idx") + F.col("lag"))
-    pairs = a.join(samples.select("series", F.col("idx").alias("to"), F.col("v").alias("w")), ["series", "to"])
-    x, y = F.col("v").cast("double"), F.col("w").cast("double")
-    sums = pairs.groupBy("series", "lag").agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
-    return sums.select("series", "lag", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(0.0).alias("r"))
+def autocorrelation(samples: DataFrame, low: int, high: int, size: int = 4096) -> DataFrame:
+    """(series, lag, r): normalised autocorrelation at lags low to high; lags that no pair of samples has are left out.
+
+    A series is cut into slices of size samples, each with the high samples after it; a slice is one vectorised group that
+    returns its three sums for each lag. idx counts from 0 without gaps."""
+    slice_ = F.floor(F.col("idx") / size)
+    back = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("idx") - high - size + 1) / size)).cast("long"), slice_.cast("long"))
+    rows = samples.select("series", "idx", F.col("v").cast("double").alias("v"), F.explode(back).alias("s"))
+    kind = samples.schema["series"].dataType.simpleString()
+
+    def sums(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("idx")
+        x, start = group.v.to_numpy(), key[1] * size
+        n = int((group.idx < start + size).sum())
+        lags = [k for k in range(low, high + 1) if k < len(x)]
+        first = [(x[: min(n, len(x) - k)], x[k : k + min(n, len(x) - k)]) for k in lags]
+        return pd.DataFrame([(key[0], k, a @ b, a @ a, b @ b) for k, (a, b) in zip(lags, first, strict=True)], columns=["series", "lag", "xy", "xx", "yy"])
+
+    found = rows.groupBy("series", "s").applyInPandas(sums, f"series {kind}, lag int, xy double, xx double, yy double")
+    total = found.groupBy("series", "lag").agg(*(F.sum(c).alias(c) for c in ("xy", "xx", "yy")))
+    return total.select("series", "lag", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(0.0).alias("r"))
 
 
 def fundamental(correlations: DataFrame, least: float = 0.3) -> DataFrame:

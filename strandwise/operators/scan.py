@@ -6,7 +6,6 @@ which there is one row each. So a series that holds most of all rows is spread l
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +16,13 @@ SLICE = 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that spark.checkpoint.dir names; one of our own where it is unset."""
+    """Cuts the lineage by a checkpoint in the folder that spark.checkpoint.dir names or the session was given; ValueError
+    where there is none, since executors elsewhere can't read a folder of one machine."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        if not (named := spark.conf.get("spark.checkpoint.dir", None)):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named)
     return df.checkpoint()
 
 
@@ -56,12 +58,22 @@ def last_before(df: DataFrame, keys: list[str], value: Column, name: str, pos: s
     return df.withColumn("_i", inside).join(lasts, [*keys, "_s"]).withColumn(name, F.coalesce("_i", "_b")).drop("_v", "_s", "_i", "_b")
 
 
+def _part(x: Column, bounds: Column, low: int, high: int) -> Column:
+    """How many of bounds[low:high], in order, are x or less, plus low: a tree of comparisons, which is generated code."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(x < bounds[mid], _part(x, bounds, low, mid)).otherwise(_part(x, bounds, mid + 1, high))
+
+
 def number(df: DataFrame, keys: list[str], order: str, name: str = "idx", ranges: int = 64) -> DataFrame:
-    """df with the rank from 0 of each row in its keys by order, a whole number. The order's range is cut into parts,
-    which are counted first, so that no key's rows are sorted in one task."""
-    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))  # one row
-    df = df.crossJoin(F.broadcast(ends)).withColumn("_s", F.expr(f"(`{order}` - _lo) div ((_hi - _lo) div {ranges} + 1)")).drop("_lo", "_hi")
-    counts = df.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
+    """df with the rank from 0 of each row in its keys by order, a number. Rows are dealt into parts between quantiles of
+    order, which are counted first, so that no key's rows are sorted in one task, however order is spread. Rows without
+    order come last; ties are in any order."""
+    cuts = F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges))
+    ends = df.agg(cuts.alias("_cuts"))  # one row
+    placed = df.crossJoin(F.broadcast(ends)).withColumn("_s", _part(F.col(order), F.col("_cuts"), 0, ranges - 1)).drop("_cuts")
+    counts = placed.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_b", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rank = F.row_number().over(W.partitionBy(*keys, "_s").orderBy(order)) - 1
-    return df.withColumn("_i", rank).join(counts, [*keys, "_s"]).withColumn(name, F.col("_i") + F.col("_b")).drop("_i", "_b", "_s")
+    rank = F.row_number().over(W.partitionBy(*keys, "_s").orderBy(F.col(order).asc_nulls_last())) - 1
+    return placed.withColumn("_i", rank).join(counts, [*keys, "_s"]).withColumn(name, F.col("_i") + F.col("_b")).drop("_i", "_b", "_s")

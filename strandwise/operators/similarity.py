@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cosine, normalise
+from ..functions.arrays import dot
 from .scan import cut
 
 BINS = 32
@@ -13,32 +16,40 @@ BINS = 32
 
 def block_features(blocks: DataFrame, bins: int = BINS) -> DataFrame:
     """(series, block, length, vec) of blocks (series, block, samples): unit vector of the root mean squares of bins equal
-    parts (of one sample at least); what is over at the end is left out, what lacks is 0."""
+    parts (of one sample at least); what is over at the end is left out, what lacks is 0. An empty or null block has a
+    vector of zeros."""
     part = F.greatest(F.lit(1), F.floor(F.size("samples") / bins)).cast("int")
     power = lambda b: F.aggregate(F.slice("samples", b * part + 1, part), F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     level = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.when(b * part < F.size("samples"), F.sqrt(power(b) / F.least(part, F.size("samples") - b * part))).otherwise(F.lit(0.0)))
-    return blocks.select("series", "block", F.size("samples").alias("length"), normalise(level).alias("vec"))
+    # Levels and their norm are columns, so that each is computed once a block and not once a component.
+    rows = blocks.select("series", "block", F.size("samples").alias("length"), level.alias("level")).withColumn("norm", F.sqrt(dot("level", "level")))
+    unit = F.when(F.col("norm") > 1e-9, F.transform("level", lambda x: x / F.col("norm"))).otherwise(F.col("level"))
+    return rows.select("series", "block", "length", unit.alias("vec"))
 
 
-def plane_value(table: Column, bit: Column, dim: Column) -> Column:
-    """A whole number from -1000 to 1000 for each component of each hyperplane: the same on every engine."""
-    mixed = (table.cast("long") * 7919 + bit * 104729 + dim * 1299709 + 12345) % 1000003
+def planes(tables: int, bits: int, dims: int) -> np.ndarray:
+    """[table, bit, component] of the hyperplanes, whole numbers from -1000 to 1000: the same on every engine."""
+    t, b, d = np.ogrid[:tables, :bits, :dims]
+    mixed = (t * 7919 + b * 104729 + d * 1299709 + 12345) % 1000003
     return (mixed * mixed) % 2001 - 1000
 
 
 def signatures(vectors: DataFrame, tables: int, bits: int, dims: int, scale: float = 1e4) -> DataFrame:
     """(id, tbl, hash) of vectors (id, vec): a bit for each hyperplane, set where the dot product isn't negative. Components
-    are taken as whole multiples of 1 / scale, so that a sum's sign can't depend on its order."""
-    whole = F.transform("vec", lambda x: F.round(x.cast("double") * scale).cast("long"))
-    rows = vectors.select("id", whole.alias("w")).withColumn("tbl", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
-    dims_ = F.sequence(F.lit(0), F.lit(dims - 1))
+    are taken as whole multiples of 1 / scale, so that a sum's sign can't depend on its order. Vectors that are null, hold
+    a null or are not of dims components have no rows."""
+    side = planes(tables, bits, dims).reshape(tables * bits, dims)
 
-    def side(b: Column) -> Column:
-        total = F.aggregate(F.zip_with("w", dims_, lambda x, d: x * plane_value(F.col("tbl"), b, d)), F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.when(total >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(0)
+    @F.pandas_udf("array<long>")
+    def hashed(col: pd.Series) -> pd.Series:
+        if not len(col):
+            return pd.Series([], dtype=object)
+        signs = (np.stack(col.to_list()) @ side.T >= 0).reshape(len(col), tables, bits)
+        return pd.Series(list((signs << np.arange(bits)).sum(2)))
 
-    hashed = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), side), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("id", "tbl", hashed.alias("hash"))
+    whole = F.transform("vec", lambda x: F.round(x.cast("double") * scale).cast("long"))
+    rows = vectors.filter((F.size("vec") == dims) & ~F.exists("vec", lambda x: x.isNull())).select("id", hashed(whole).alias("h"))
+    return rows.select("id", F.posexplode("h").alias("tbl", "hash"))
 
 
 def candidates(signed: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -49,14 +60,35 @@ def candidates(signed: DataFrame, by: list[str] | None = None) -> DataFrame:
     return a.join(b, keys).filter("ref < tgt").groupBy(*(by or []), "ref", "tgt").agg(F.min("tbl").alias("first_table"))
 
 
-def references(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """(tgt, ref, similarity): each target's most similar candidate if that is least or more; ties go to the earlier
-    table, then to the smaller ref."""
-    v = vectors.select("id", "vec")
-    scored = pairs.join(v.withColumnsRenamed({"id": "ref", "vec": "a"}), "ref").join(v.withColumnsRenamed({"id": "tgt", "vec": "b"}), "tgt")
-    scored = scored.withColumn("similarity", F.round(cosine("a", "b"), 9))
-    best = scored.groupBy("tgt").agg(F.max(F.struct("similarity", (-F.col("first_table")).alias("t"), (-F.col("ref")).alias("r"))).alias("m"))
-    return best.select("tgt", (-F.col("m.r")).alias("ref"), F.col("m.similarity").alias("similarity")).filter(F.col("similarity") >= least)
+def references(signed: DataFrame, vectors: DataFrame, least: float, by: list[str] | None = None, block: int = 512) -> DataFrame:
+    """(tgt, ref, similarity): each target's most similar earlier vector among those that share a bucket with it (and the
+    columns by), if the cosine, rounded to 9 digits, is least or more; ties go to the earlier table, then the smaller ref.
+
+    signed is (id, tbl, hash, by...), vectors (id, vec). A bucket's members are dealt into blocks; each pair of blocks is one
+    group, which returns the best of each of its targets, so that neither a bucket nor its pairs are ever held whole.
+    """
+    keys = [*(by or []), "tbl", "hash"]
+    parts = signed.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).filter("parts > 0")
+    dealt = signed.join(parts, keys).withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
+    dealt = dealt.withColumn("pair", F.explode(met)).join(vectors.select("id", "vec"), "id")
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        x, ids = np.stack(group.vec.to_list()).astype(np.float64), group.id.to_numpy()
+        square = (x * x).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = np.where((square[:, None] > 1e-12) & (square[None, :] > 1e-12), (x @ x.T) / np.sqrt(square[:, None] * square[None, :]), 0.0)
+        sim = np.where(ids[None, :] < ids[:, None], np.round(sim, 9), -np.inf)
+        at = sim.argmax(1)
+        top = sim[np.arange(len(ids)), at]
+        good = np.flatnonzero(top >= least)
+        return pd.DataFrame({"tgt": ids[good], "ref": ids[at[good]], "similarity": top[good], "tbl": int(group.tbl.iloc[0])})
+
+    kind = signed.schema["id"].dataType.simpleString()
+    found = dealt.select(*keys, "pair", "id", "vec").groupBy(*keys, "pair").applyInPandas(best, f"tgt {kind}, ref {kind}, similarity double, tbl int")
+    rank = F.row_number().over(W.partitionBy("tgt").orderBy(F.desc("similarity"), "tbl", "ref"))
+    return found.withColumn("r", rank).filter("r = 1").select("tgt", "ref", "similarity")
 
 
 def differences(blocks: DataFrame, edges: DataFrame) -> DataFrame:

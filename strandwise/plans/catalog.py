@@ -204,7 +204,7 @@ def cosine_pairs(spark, d):
 
 
 def block_graph(spark, d):
-    return similarity.references(lsh_candidates(spark, d), _vectors(spark, d), 0.3).withColumn("similarity", F.round("similarity", 5))
+    return similarity.references(lsh_hash(spark, d), _vectors(spark, d), 0.3).withColumn("similarity", F.round("similarity", 5))
 
 
 def _named_blocks(spark, d):

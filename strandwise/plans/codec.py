@@ -49,14 +49,9 @@ def cut(samples: DataFrame, segments: DataFrame, grid: int) -> DataFrame:
 
 def link(blocks: DataFrame, cfg: CodecConfig) -> DataFrame:
     """(tgt, ref, similarity) among blocks of one series and length."""
-    vectors = similarity.block_features(blocks.select("series", F.col("id").alias("block"), "samples")).withColumnRenamed("block", "id")
+    vectors = scan.cut(similarity.block_features(blocks.select("series", F.col("id").alias("block"), "samples")).withColumnRenamed("block", "id"))
     signed = similarity.signatures(vectors, cfg.lsh_tables, cfg.lsh_bits, similarity.BINS).join(vectors.select("id", "series", "length"), "id")
-    numbered = vectors.select("id", F.col("series"), "vec")
-    pairs = similarity.candidates(signed.select("id", "series", "length", "tbl", "hash"), ["series", "length"])
-    a, b = (numbered.select(F.col("id").alias(x), F.col("vec").alias(f"v{x}")) for x in ("ref", "tgt"))
-    scored = pairs.join(a, "ref").join(b, "tgt").withColumn("similarity", F.round(similarity.cosine("vref", "vtgt"), 9)).filter(F.col("similarity") >= cfg.similarity)
-    best = scored.groupBy("tgt").agg(F.max_by(F.struct("ref", "similarity"), F.struct("similarity", -F.col("first_table"))).alias("m"))
-    return best.select("tgt", "m.ref", "m.similarity")
+    return similarity.references(signed, vectors, cfg.similarity, ["series", "length"])
 
 
 def encode(samples: DataFrame, cfg: CodecConfig, rate: int = 44_100) -> Frames:
