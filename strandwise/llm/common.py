@@ -43,6 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that no helper column has, and these names by column."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to BATCH bytes, since each batch is held whole on both sides of a Python worker;
     a limit that the caller has chosen stays. Only queries and the pipeline call this."""

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_path
 
-SHARD = 4096  # classes of a shard
-BLOCK = 2048  # query classes of a block
+SHARD = 8192  # classes of a shard
+BLOCK = 16_384  # query classes of a block
 
 
 def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -152,23 +152,25 @@ def direction(v: Column) -> Column:
 
 def classes(vectors: DataFrame, keep: int) -> DataFrame:
     """(cls, dim, v, ids) of the valid vectors of one direction in vectors (vec_id, embedding): the class's keep smallest
-    ids. Longer lists can't matter: a query takes fewer from one class, as all its cosines are equal."""
+    distinct ids. Longer lists can't matter: a query takes fewer from one class, as all its cosines are equal."""
     v = F.col("embedding").cast("array<double>")
     good = F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
     rows = vectors.filter(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long"), v.alias("v"))
     rows = rows.withColumn("v", direction(F.col("v"))).withColumn("cls", F.concat_ws("-", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
     first = W.partitionBy("cls").orderBy("vec_id")
-    rows = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= keep)
+    rows = rows.dropDuplicates(["cls", "vec_id"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= keep)
     return rows.groupBy("cls").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("cls", F.size("v").alias("dim"), "v", "ids")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int = 96, shard: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int = 128, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries (vec_id, embedding) the k rows of vectors of largest
-    cosine found, a row of the query's own id left out, ties to the smaller id.
+    cosine found, rows of the query's own id left out, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part on either side; vectors of
-    different lengths aren't compared. Fewer than k candidates give fewer rows. Rows repeated with one id count once
-    for each time. Extra columns are ignored; an empty table gives no rows.
+    different lengths aren't compared. Fewer than k candidates give fewer rows. Rows repeated with one id and direction
+    count once, on either side; an id with several directions is a candidate, and a query, with each. Components of any
+    finite size are scaled first, so no norm overflows. Extra columns are ignored, clashing ones too; an empty table gives
+    no rows.
     """
     spark = vectors.sparkSession
     classes(vectors, k + 1).write.parquet(path := shared_path(spark, "classes"))
@@ -185,12 +187,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int = 96,
         return pd.DataFrame([row | {"sizes": sizes.tobytes(), "links": b"".join(links.tobytes() for _, links in levels)}])
 
     shape = "dim int, shard int, names array<string>, vectors binary, sizes binary, links binary"
-    dealt.select("dim", "shard", "cls", "v").groupBy("dim", "shard").applyInPandas(index, shape).write.parquet(path := shared_path(spark, "graph"))
+    # So many parts, and named ones, that Spark doesn't put small shards together in one task.
+    parts = 4 * (counts.agg(F.sum("shards")).first()[0] or 1)
+    dealt.select("dim", "shard", "cls", "v").repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInPandas(index, shape).write.parquet(path := shared_path(spark, "graph"))
     graph = spark.read.parquet(path)
 
     asked = queries.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
     v = direction(F.col("embedding").cast("array<double>"))
-    asked = asked.withColumn("q", F.concat_ws("-", F.xxhash64(v), F.xxhash64(F.lit(1), v))).select("query_id", "q")
+    asked = asked.withColumn("q", F.concat_ws("-", F.xxhash64(v), F.xxhash64(F.lit(1), v))).select("query_id", "q").distinct()
     texts = asked.select("q").distinct().join(known, F.col("q") == F.col("cls")).select("dim", "q", "v")
     blocks = texts.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sets = texts.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("q", F.lit(3)), F.col("blocks")).cast("int"))
@@ -221,6 +225,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, width: int = 96,
     found = sets.groupBy(*key).cogroup(parts.groupBy(*key)).applyInPandas(find, "q string, cls string, score double")
     best = W.partitionBy("q").orderBy(F.desc("score"), "cls")
     merged = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).join(known.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
-    rank = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rank = W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     out = asked.join(merged, "q").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")

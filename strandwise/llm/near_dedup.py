@@ -15,10 +15,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, mix, written
+from .common import aside, blocks, cut, mix, written
 from .components import connected_components
 from .shingles import minhashes, shingle_sets
 
@@ -250,16 +250,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes:
     rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")
     best = written(rows.groupBy("grp").agg(F.min(rank).alias("best"), F.count("*").alias("size"), F.max("n").alias("most")).filter("size > 1 or most > 1"), "best")
     marks = rows.join(best, "grp").select(F.col("doc_id").alias("doc_id_"), F.col("th").alias("th_"), "n", (rank == F.col("best")).alias("stays"))
-    out, names = _named(docs)
-    text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
-    same = (F.xxhash64(F.col(text).cast("string")) == F.col("th_")) & F.col(doc_id).cast("long").eqNullSafe(F.col("doc_id_"))
+    out, at = aside(docs)
+    same = (F.xxhash64(F.col(at["text"]).cast("string")) == F.col("th_")) & F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("doc_id_"))
     out = out.join(marks, same, "left").filter("stays is null or stays")
-    once = out.filter("n > 1").dropDuplicates([doc_id, text])
-    back = [F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)]
+    once = out.filter("n > 1").dropDuplicates([at["doc_id"], at["text"]])
+    back = [F.col(a).alias(c) for c, a in at.items()]
     return out.filter("n is null or n = 1").select(*back).union(once.select(*back))
-
-
-def _named(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs under names that can't clash with ours, and these names in order."""
-    names = [f"c{i}_" for i in range(len(docs.columns))]
-    return docs.toDF(*names), names

@@ -91,7 +91,7 @@ QUERIES = {
 
 SQL = {
     "op4_line_dedup": r"""
-        WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+        WITH pages AS (SELECT source, text FROM documents WHERE text IS NOT NULL),
         totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
         lines AS (
             SELECT source, line, count(*) AS n
@@ -99,15 +99,14 @@ SQL = {
             WHERE trim(line) <> '' GROUP BY source, line
         ), bad AS (
             SELECT l.source, list(l.line) AS bad FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-            WHERE l.n >= 5 AND l.n > CAST(0.1 AS DOUBLE) * t.pages GROUP BY l.source
-        ), cut AS (
-            SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(b.bad, []), x)) AS kept
-            FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source
+            WHERE l.n >= 2 AND l.n > CAST(0.02 AS DOUBLE) * t.pages GROUP BY l.source
         ), done AS (
-            SELECT doc_id, text, lines, CASE WHEN len(list_filter(kept, lambda x: trim(x) <> '')) > 0 THEN kept ELSE lines END AS kept FROM cut
+            SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(b.bad, []), x)) AS kept
+            FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source
         )
         SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_dropped,
-            length(array_to_string(kept, chr(10))) AS kept_chars, md5(array_to_string(kept, chr(10))) AS kept_md5
+            length(CASE WHEN len(kept) = 0 THEN '' ELSE array_to_string(kept, chr(10)) END) AS kept_chars,
+            md5(CASE WHEN len(kept) = 0 THEN '' ELSE array_to_string(kept, chr(10)) END) AS kept_md5
         FROM done
     """,
     "op7_minhash_near_dedup": r"""

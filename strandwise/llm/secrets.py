@@ -2,7 +2,7 @@
 
 Base patterns give labelled credentials. For each kind the prefix tree of a bounded sample of them, over character
 classes, is merged: two states become one where a Hoeffding test finds their endings and successors compatible
-(ALERGIA). A candidate's score is the log-likelihood ratio, in bits a character, of the best kind's automaton against
+(ALERGIA) and a test of their remaining lengths does too, so that a format of fixed length keeps it. A candidate's score is the log-likelihood ratio, in bits a character, of the best kind's automaton against
 a model of ordinary tokens, learned from candidates that are plainly words, paths, dates and the like; candidates over a
 limit, set between those and held-out credentials, are added to the base spans.
 """
@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks
@@ -23,7 +24,9 @@ KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 12  # characters of a candidate, as of the shortest credential that a base pattern takes
+_SIGNS = "+/_.=-"
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 # A token that is no secret to the eye: between its signs stand words, with a short number or none, and numbers.
 _PLAIN = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8})(?:[+/_.=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*")
 # Classes of characters and their sizes: the letters of hex digits, other lower case, upper case, digits, signs.
@@ -44,41 +47,69 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 16 credential characters and more, signs at the ends stripped, that touch no base span."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        run = m.group()
-        start = m.start() + len(run) - len(run.lstrip("+/_.=-"))
-        end = start + len(run.strip("+/_.=-"))
-        if end - start >= 16 and not any(a < end and start < b for a, _, b in taken):
-            out.append((start, end))
+    """What runs of credential characters leave outside the base spans, signs at the ends stripped, of LEAST characters and
+    more."""
+    out, spans, i = [], sorted((a, b) for a, _, b in taken), 0
+    for m in _RUN.finditer(text):
+        at, end = m.span()
+        while i < len(spans) and spans[i][1] <= at:
+            i += 1
+        parts, j = [], i
+        while j < len(spans) and spans[j][0] < end:
+            parts.append((at, spans[j][0]))
+            at = max(at, spans[j][1])
+            j += 1
+        for start, stop in (*parts, (at, end)):
+            if stop - start >= LEAST:
+                run = text[start:stop]
+                start += len(run) - len(run.lstrip(_SIGNS))
+                stop = start + len(run.strip(_SIGNS))
+                if stop - start >= LEAST:
+                    out.append((start, stop))
     return out
 
 
 @dataclass
 class Automaton:
-    """A probabilistic automaton over character classes: for each state its ends, visits and moves (class: (next, n))."""
+    """A probabilistic automaton over character classes: for each state its ends, visits and moves (class: (next, n)), and the
+    sums of its visits' remaining lengths and of their squares."""
 
     moves: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
     visits: list[int] = field(default_factory=lambda: [0])
     ends: list[int] = field(default_factory=lambda: [0])
+    rest: list[int] = field(default_factory=lambda: [0])
+    rest2: list[int] = field(default_factory=lambda: [0])
+
+    def visit(self, s: int, left: int) -> None:
+        self.visits[s] += 1
+        self.rest[s] += left
+        self.rest2[s] += left * left
 
     def add(self, word: str) -> None:
-        s = 0
-        self.visits[0] += 1
+        s, left = 0, len(word)
+        self.visit(0, left)
         for c in word:
             move = self.moves[s].get(k := _CLASS[c])
             if move is None:
                 move = self.moves[s][k] = [len(self.moves), 0]
                 self.moves.append({})
-                self.visits.append(0)
-                self.ends.append(0)
+                for column in (self.visits, self.ends, self.rest, self.rest2):
+                    column.append(0)
             move[1] += 1
-            s = move[0]
-            self.visits[s] += 1
+            s, left = move[0], left - 1
+            self.visit(s, left)
         self.ends[s] += 1
 
+    def alike_in_length(self, a: int, b: int) -> bool:
+        """Whether the mean remaining lengths are within three standard errors of each other."""
+        n, m = self.visits[a], self.visits[b]
+        x, y = self.rest[a] / n, self.rest[b] / m
+        spread = max(self.rest2[a] / n - x * x, self.rest2[b] / m - y * y, 0.0)
+        return abs(x - y) <= 3 * math.sqrt(spread * (1 / n + 1 / m)) + 1e-9
+
     def compatible(self, a: int, b: int, alpha: float) -> bool:
+        if not self.alike_in_length(a, b):
+            return False
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
@@ -101,8 +132,8 @@ class Automaton:
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
-            self.visits[a] += self.visits[b]
-            self.ends[a] += self.ends[b]
+            for column in (self.visits, self.ends, self.rest, self.rest2):
+                column[a] += column[b]
             for k, (s, n) in self.moves[b].items():
                 if k in self.moves[a]:
                     self.moves[a][k][1] += n
@@ -111,32 +142,36 @@ class Automaton:
                     self.moves[a][k] = [s, n]
 
     def merge(self, alpha: float = 0.05) -> Automaton:
-        red = [0]
-        while True:
-            blue = [(r, k) for r in red for k, (s, _) in sorted(self.moves[r].items()) if s not in red]
-            if not blue:
-                return self
-            r, k = blue[0]
-            s = self.moves[r][k][0]
-            for q in red:
-                if self.compatible(q, s, alpha):
-                    self.moves[r][k][0] = q
-                    self.fold(q, s)
-                    break
-            else:
+        """Settles states in the order of their finding: each joins the first settled state that it is compatible with."""
+        red, settled = [0], {0}
+        while (found := next(((r, k, m[0]) for r in red for k, m in sorted(self.moves[r].items()) if m[0] not in settled), None)) is not None:
+            r, k, s = found
+            q = next((q for q in red if self.compatible(q, s, alpha)), None)
+            if q is None:
                 red.append(s)
+                settled.add(s)
+            else:
+                self.moves[r][k][0] = q
+                self.fold(q, s)
+        return self
 
     def bits(self, word: str) -> float:
-        """log2 of the word's likelihood, each class's characters being alike; moves never seen count half a visit."""
+        """log2 of the word's likelihood, each class's characters being alike. A move never seen counts a tenth of a visit and
+        leads where most go from there, so that the rest is still told by its place."""
         s, out = 0, 0.0
         for c in word:
-            k = _CLASS[c]
-            to, n = self.moves[s].get(k, (0, 0))
+            k, moves = _CLASS[c], self.moves[s]
+            to, n = moves[k] if k in moves else (max(moves.values(), key=lambda m: m[1])[0] if moves else s, 0)
             out += math.log2((n + 0.1) / (self.visits[s] + 0.6) / _SIZE[k])
             s = to
         return out + math.log2((self.ends[s] + 0.1) / (self.visits[s] + 0.6))
 
 
+def folded(word: str) -> str:
+    """Words in upper case alone as in lower case: 0AF and 0af are one format."""
+    return word.lower() if word == word.upper() else word
+
+
 @dataclass
 class Scanner:
     """Automata of the labelled kinds, the automaton of ordinary tokens, and the limit between them."""
@@ -146,6 +181,7 @@ class Scanner:
     limit: float = math.inf
 
     def score(self, word: str) -> float:
+        word = folded(word)
         return max((a.bits(word) for a in self.kinds), default=-math.inf) / len(word) - self.ordinary.bits(word) / len(word)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -157,8 +193,8 @@ class Scanner:
 
 def infer(credentials: dict[str, list[str]], ordinary: list[str], margin: float = 0.1) -> Scanner:
     """The ordinary model is made of the plain tokens of ordinary alone, so unlabelled secrets among them neither teach it
-    nor lift the limit. The limit lies halfway from the plain tokens' upper hundredth to the lowest twentieth of
-    credentials held out of their automata, margin bits over that hundredth and over 0 at least; without credentials or
+    nor lift the limit. The limit lies halfway from the plain tokens' upper thousandth to the lowest twentieth of
+    credentials held out of their automata, margin bits over that thousandth and over 0 at least; without credentials or
     plain tokens nothing is added to the base."""
     trees, halves, held = [], [], []
     for _, values in sorted(credentials.items()):
@@ -172,7 +208,7 @@ def infer(credentials: dict[str, list[str]], ordinary: list[str], margin: float
     if held and tokens:
         own = sorted(map(Scanner(halves, scanner.ordinary).score, held))
         rest = sorted(map(scanner.score, tokens))
-        high = rest[(len(rest) * 99 - 1) // 100]
+        high = rest[(len(rest) * 999 - 1) // 1000]
         scanner.limit = max(margin, high + margin, (high + own[len(own) // 20]) / 2)
     return scanner
 
@@ -180,12 +216,14 @@ def infer(credentials: dict[str, list[str]], ordinary: list[str], margin: float
 def _tree(values: list[str]) -> Automaton:
     tree = Automaton()
     for v in values:
-        tree.add(v)
+        tree.add(folded(v))
     return tree
 
 
-def learn(docs: DataFrame, texts: int = 20_000, values: int = 400) -> Scanner:
-    """Infers from a sample of about so many texts, chosen by a hash of the text, and so many values of a kind."""
+def learn(docs: DataFrame, texts: int = 20_000, values: int = 400, longest: int = 4096, characters: int = 100_000) -> Scanner:
+    """Infers from a bounded sample: about texts texts, chosen by a hash of the text; of a kind values values (of ordinary
+    tokens five times as many), whole, none over longest and all together not over characters long. Scanning knows no such
+    bounds."""
     share = min(1.0, texts / max(1, docs.count()))
 
     def run(batches):
@@ -195,24 +233,29 @@ def learn(docs: DataFrame, texts: int = 20_000, values: int = 400) -> Scanner:
                 for t in part.column("text").to_pylist():
                     base = base_spans(t)
                     for a, k, b in base:
-                        value = _ASSIGN.match(t, a).group(2) if k == 0 else t[a:b]
-                        rows.add((KINDS[k], value[:200]))
-                    rows.update(("", t[a:b][:200]) for a, b in candidates(t, base))
+                        rows.add((KINDS[k], _ASSIGN.match(t, a).group(2) if k == 0 else t[a:b]))
+                    rows.update(("", t[a:b]) for a, b in candidates(t, base))
+                rows = [(k, v) for k, v in rows if len(v) <= longest]
                 yield pa.RecordBatch.from_pylist([{"kind": k, "value": v} for k, v in rows], schema=pa.schema([("kind", pa.string()), ("value", pa.string())]))
 
     found = docs.filter("text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("text").mapInArrow(run, "kind string, value string").distinct()
+    # One pass over the texts: each kind's values of the smallest hashes, ranked.
+    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    few = found.withColumn("r", rank).filter(F.col("r") <= F.when(F.col("kind") == "", 5 * values).otherwise(values))
     by: dict[str, list[str]] = {}
-    for kind in ("", *KINDS[:3]):
-        few = found.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(values * (1 if kind else 5))
-        if rows := [r.value for r in few.select("value").collect()]:
-            by[kind] = rows
+    left: dict[str, int] = {}
+    for r in few.select("kind", "value").collect():
+        left[r.kind] = left.get(r.kind, characters) - len(r.value)
+        if left[r.kind] >= 0:
+            by.setdefault(r.kind, []).append(r.value)
     return infer({k: v for k, v in by.items() if k}, by.get("", []))
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """docs with found, array<struct<kind, start, end>>: base spans and those added, by start, then kind. Positions are
-    code points, ends exclusive. Null and empty texts have none; repeated rows have equal ones; a column of docs
-    called found is replaced."""
+    code points, ends exclusive. Null and empty texts have none; very long ones are scanned whole; a score of exactly the
+    limit adds nothing; repeated rows have equal spans; an empty table gives no rows; a column of docs called found is
+    replaced, others of any name stay."""
     docs = docs.drop("found").withColumn("text", F.col("text").cast("string"))
     held = docs.sparkSession.sparkContext.broadcast(scanner)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -1,8 +1,9 @@
 """Operator 1: toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(b + sum of w[t] x[t] + half of (|sum of v[t] x[t]|^2 - sum of |v[t] x[t]|^2)) over a text's distinct
-hashed terms, x growing with the logarithm of their counts, so that pairs of terms count beside single ones. The model is fitted on a bounded, hash-chosen sample of labelled
-rows; terms that tell nothing in that sample are left out, and every whole text is scored in a narrow map.
+hashed terms, x growing with the logarithm of their counts, so that pairs of terms count beside single ones. The model
+is fitted on a bounded, hash-chosen sample of labelled rows; terms that tell nothing there, neither alone nor in a pair,
+are left out, and every whole text is scored in a narrow map.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks
@@ -71,24 +73,67 @@ def weight(counts) -> np.ndarray:
 
 
 def hashed_terms(docs: DataFrame, buckets: int) -> DataFrame:
-    """(y, terms, counts): label, distinct buckets and their counts of each row of docs (text, y)."""
+    """(id, th, y, terms, counts): id, text hash, label, distinct buckets and their counts of each row of docs (id, text, y)."""
 
     def run(batches):
         hashed = Hasher(buckets)
         for batch in batches:
             for part in blocks(batch, "text"):
                 terms = [hashed(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("y"), *(pa.array([list(x) for x in y], pa.list_(pa.int32())) for y in (terms, [t.values() for t in terms]))], ["y", "terms", "counts"])
+                lists = (pa.array([list(x) for x in y], pa.list_(pa.int32())) for y in (terms, [t.values() for t in terms]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "th", "y")), *lists], ["id", "th", "y", "terms", "counts"])
 
-    return docs.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, terms array<int>, counts array<int>")
+    rows = docs.select(F.col("id").cast("long"), F.xxhash64("text").alias("th"), F.col("y").cast("int"), "text")
+    return rows.mapInArrow(run, "id long, th long, y int, terms array<int>, counts array<int>")
 
 
-def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], buckets: int, factors: int = 8, steps: int = 400, rate: float = 0.1, screen: float = 25.0, penalty: float = 5e-4, seed: int = 5) -> Machine:
-    """terms and counts are each text's buckets and how often it holds them. Screens the buckets, then fits the machine on those kept by Adam on the penalised logistic loss.
+def _ratio(bad: np.ndarray, n: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+    """Log-likelihood ratio of bad labels among n against the rate p."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.nan_to_num(bad * np.log(bad / (n * p))) + np.nan_to_num((n - bad) * np.log((n - bad) / (n * (1 - p)))))
+
+
+def telling_pairs(y: np.ndarray, terms: list[np.ndarray], df: np.ndarray, bad: np.ndarray, screen: float, most: int = 4096) -> np.ndarray:
+    """The buckets of pairs whose joint rate of label 1 lies outside what either bucket alone, none, or both independently
+    lead to, at a log-likelihood ratio over screen. Looked at are the most buckets that most rows of label 1 hold, a fiftieth
+    of them and 4 at least: a pair met in fewer couldn't pass."""
+    total, share = float(y.sum()), float(y.mean())
+    cand = np.flatnonzero(bad >= max(4, total / 50))
+    cand = np.sort(cand[np.argsort(-bad[cand], kind="stable")[:most]])
+    at, found = np.full(len(df), -1, np.int32), np.zeros(len(cand), bool)
+    at[cand] = np.arange(len(cand))
+    rows = [c[c >= 0] for c in (at[t] for t in terms)]
+    rate = (bad[cand] + share) / (df[cand] + 1)
+    logit = np.log(rate / (1 - rate)) - np.log(share / (1 - share))
+    for start in range(0, len(cand), 256):
+        stop = min(start + 256, len(cand))
+        n, b = np.zeros((stop - start, len(cand)), np.float32), np.zeros((stop - start, len(cand)), np.float32)
+        for first in range(0, len(rows), 1024):
+            part = rows[first : first + 1024]
+            x = np.zeros((len(part), len(cand)), np.float32)
+            x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate([*part, np.zeros(0, np.int32)])] = 1
+            own = x[:, start:stop]
+            n += own.T @ x
+            label = y[first : first + 1024] > 0
+            b += own[label].T @ x[label]
+        both = 1 / (1 + np.exp(-(logit[start:stop, None] + logit[None, :] + np.log(share / (1 - share)))))
+        low = np.minimum(np.minimum(rate[start:stop, None], rate[None, :]), np.minimum(both, share))
+        high = np.maximum(np.maximum(rate[start:stop, None], rate[None, :]), np.maximum(both, share))
+        ratio = np.where(b > n * high, _ratio(b, n, high), np.where(b < n * low, _ratio(b, n, low), 0.0))
+        hit = (n >= 4) & (ratio > screen)
+        found[start:stop] |= hit.any(1)
+        found |= hit.any(0)
+    return cand[found]
+
+
+def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], buckets: int, factors: int = 8, steps: int = 400, rate: float = 0.1, screen: float = 25.0, pairs: float = 45.0, penalty: float = 5e-4, seed: int = 5) -> Machine:
+    """terms and counts are each text's buckets and how often it holds them. Screens the buckets, then fits the machine on
+    those kept by Adam on the penalised logistic loss.
 
     A bucket is kept if label 1 is commoner in its texts (4 at least) than in all and the log-likelihood ratio of that
-    is over screen, so that the thousands of indifferent terms of a long text add no noise. Equal term sets of one label count once. No
-    rows give score 0.1, labels of one kind their smoothed share.
+    is over screen, or if it is one of a pair that tells (telling_pairs, over pairs: there are more of them to choose
+    from); so the thousands of indifferent terms of a long text add no noise. Equal term sets of one label count once.
+    No rows give score 0.1, labels of one kind their smoothed share.
     """
     seen = {(float(v), hashlib.sha256(t.tobytes()).digest()): i for i, (v, t) in enumerate(zip(y, terms, strict=True))}
     y, terms, counts = y[list(seen.values())], [terms[i] for i in seen.values()], [counts[i] for i in seen.values()]
@@ -96,9 +141,10 @@ def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], bucket
     flat = np.concatenate([*terms, np.zeros(0, np.int32)])
     df = np.bincount(flat, minlength=buckets)
     bad = np.bincount(np.concatenate([*(t for t, v in zip(terms, y, strict=True) if v), np.zeros(0, np.int32)]), minlength=buckets)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (np.nan_to_num(bad * np.log(bad / (df * share))) + np.nan_to_num((df - bad) * np.log((df - bad) / (df * (1 - share)))))
-    keep = np.flatnonzero((df >= 4) & (bad > df * share) & (gain > screen)) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
+    keep = np.zeros(0, np.int64)
+    if 0 < y.sum() < len(y):
+        alone = np.flatnonzero((df >= 4) & (bad > df * share) & (_ratio(bad, df, share) > screen))
+        keep = np.union1d(alone, telling_pairs(y, terms, df, bad, pairs))
     n, at = len(keep), np.full(buckets, -1, np.int32)
     at[keep] = np.arange(n)
     own, cols = np.repeat(np.arange(len(y), dtype=np.int32), [len(t) for t in terms]), at[flat]
@@ -126,12 +172,16 @@ def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], bucket
     return Machine(buckets, float(x[n, 0]), at, x[:n, 0], x[:n, 1:])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, buckets: int = 1 << 18) -> Machine:
-    """Fits on at most sample rows of labels (doc_id, y), chosen by a hash of doc_id. Null ids and labels are left
-    out; a doc_id with several labels or texts gives a row for each."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, buckets: int = 1 << 18, cells: int = 1 << 23) -> Machine:
+    """Fits on at most sample rows of labels (doc_id, y) with their texts, chosen by hashes of doc_id and text, and on at
+    most cells terms in all. Null ids and labels are left out; a doc_id with several labels or texts is a row for each."""
     # One row for each label kept: sample rows at most, so this side may be broadcast.
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y")).dropna().orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = hashed_terms(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")), buckets).toArrow()
+    texts = docs.select(F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
+    found = hashed_terms(texts.join(F.broadcast(chosen), F.col("key") == F.col("id")), buckets)
+    order = [F.xxhash64("id"), "id", "th", "y"]
+    few = found.orderBy(*order).limit(sample)  # of one task, and bounded like the sum over it
+    rows = few.withColumn("held", F.sum(F.size("terms")).over(W.orderBy(*order))).filter(F.col("held") <= cells).select("y", "terms", "counts").toArrow()
     y, lists = rows.column("y").to_numpy().astype(float), []
     for name in ("terms", "counts"):  # views of the columns, of a few bytes a term
         lists.append([x.values.to_numpy() for chunk in rows.column(name).chunks for x in chunk])
@@ -160,7 +210,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: float = 0.3, sample: int
     """docs with held_out, score and predicted (1 where score >= limit).
 
     labels is (doc_id, toxic); rows whose crc32(doc_id as text) mod 4 is 2 are held out of the learning. A null
-    doc_id is not held out. No labels: every score is 0.1. An empty table gives no rows.
+    doc_id is not held out. No labels: every score is 0.1. Null and empty texts score by the bias alone, very long ones as
+    a whole; a score of exactly limit is predicted 1; repeated rows score alike; columns of docs called held_out, score or
+    predicted are replaced, others of any name stay. An empty table gives no rows.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     machine = train(docs, labels.filter(~out).select("doc_id", F.col("toxic").alias("y")), sample)
