@@ -26,9 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text."""
+    """Documents without their source's boilerplate lines; n_chars follows the text. Pages of one text count once and a page
+    of boilerplate alone stays, as copies are near-dedup's to judge; 5 pages or more must hold a line, so that clean
+    documents of a small source keep theirs."""
     small_batches(spark)
-    return line_dedup(docs, ratio=LINE_RATIO).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return line_dedup(docs, ratio=LINE_RATIO, least=5, distinct_pages=True, keep_stubs=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
