@@ -1,9 +1,8 @@
 """Operator 5: byte-level BPE by monoid tree reduction.
 
-A text is halved down to leaves; each leaf is split by the pattern and its short pieces are encoded (tiktoken merges
-those few bytes, and what a worker has met is remembered); neighbours are joined
-by re-encoding a window of pieces around the seam, which doubles until what lies outside is stable. Both proofs are
-local. Pieces: a match depends on no earlier character and on at most max(start + 3, end + 2) later ones, so pieces
+A text is halved down to leaves, which the pattern splits into pieces; a piece is halved down to a few bytes, which are merged. Neighbours are
+joined by re-encoding a window around the seam, which doubles until what lies outside is stable; pieces that a worker has
+met are remembered. Both proofs are local. Pieces: a match depends on no earlier character and on at most max(start + 3, end + 2) later ones, so pieces
 that end two characters before the window's seam stay, and as soon as the new split and the right side's old split
 share a start, they agree from there on. Tokens inside one long piece: a token sequence is the encoding of its bytes
 if each adjacent pair is the encoding of its own bytes (the first merge across a border would already happen in the
@@ -21,16 +20,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks
 
-LEAF = 4096  # characters of a leaf
-MEMO = 100_000  # pieces that a worker remembers
+LEAF = 2048  # characters of a leaf, and ids of one in decoding
+BYTES = 16  # bytes of a piece that are merged as a leaf
+MEMO = 100_000  # pieces that a worker remembers, and pairs of tokens
 ROWS = 256  # rows that are decoded at once
-SHORT = 96  # bytes up to which a piece is merged in one go
+SHORT = 96  # bytes up to which a window is merged by plain search, and characters of a piece that is remembered
 
 
 class Coder:
@@ -41,8 +40,8 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {i: b for b, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.small = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self.memo: dict[str, bytes] = {}
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
         """The BPE of a few bytes: always the lowest rank first, the leftmost of equals."""
@@ -86,26 +85,33 @@ class Coder:
         return [data[i : end[i]] for i in range(n) if end[i]]
 
     def holds(self, a: bytes, b: bytes) -> bool:
-        return self.merge(a + b) == [a, b]
-
-    def piece(self, text: str) -> list[int]:
-        """The ids of one piece; a long one as a tree of halves."""
-        if len(text) <= SHORT:
-            return self.small(text)
-        mid, bytes_of = len(text) // 2, self.tokens.__getitem__
-        left, right = self.piece(text[:mid]), self.piece(text[mid:])
+        """Whether two tokens stay as they are side by side."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        return found
+
+    def piece(self, data: bytes) -> list[bytes]:
+        """The tokens of a part of a piece, as a tree of halves down to a few bytes."""
+        if len(data) <= BYTES:
+            return self.merge(data)
+        mid = len(data) // 2
+        left, right = self.piece(data[:mid]), self.piece(data[mid:])
         w = 0
         while True:
             a, b = max(0, len(left) - w), min(len(right), w)
-            new = [self.ranks[t] for t in self.merge(b"".join(map(bytes_of, left[a:] + right[:b])))]
+            new = self.merge(b"".join(left[a:] + right[:b]))
             row = [*left[max(0, a - 1) : a], *new, *right[b : b + 1]]
-            if all(self.holds(bytes_of(row[i]), bytes_of(row[i + 1])) for i in {0, len(row) - 2} if len(row) > 1):
+            if all(self.holds(row[i], row[i + 1]) for i in {0, len(row) - 2} if len(row) > 1):
                 return left[:a] + new + right[b:]
             w = max(1, w * 2)
 
     def code(self, piece: str) -> bytes:
         """The ids of one piece as int32 bytes."""
-        found = array("i", self.piece(piece)).tobytes()
+        data = piece.encode()
+        found = array("i", map(self.ranks.__getitem__, [data] if data in self.ranks else self.piece(data))).tobytes()
         if len(piece) <= SHORT:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
