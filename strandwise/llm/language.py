@@ -14,29 +14,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, mix
 
 DIM = 512
-SYMBOLS = 64
+GRAMS = 4096  # trigrams whose vectors are held at once
 
 
 @lru_cache(1)
 def alphabet() -> np.ndarray:
-    """A symbol for each code point: 0 for what is no letter, 1 to 26 for a to z in either case, else 27 to 63."""
-    out = np.zeros(0x110000, np.uint8)
+    """Each code point's letter, as the code point of its lower case; 0 for what is no letter."""
+    out = np.zeros(0x110000, np.int64)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % 37
+            out[cp] = ord(c.lower()[0])
     return out
 
 
-@lru_cache(1)
-def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The letters' vectors, permuted for the first, second and third place."""
-    v = np.random.default_rng(17).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIM))
-    return np.roll(v, 2, 1), np.roll(v, 1, 1), v
+def letters(points: np.ndarray) -> np.ndarray:
+    """Each letter's own random vector of +1 and -1, drawn from its code point; that of 0, the border, too."""
+    words = mix(points.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(words.astype("<u8").view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def profile(text: str | None) -> np.ndarray | None:
@@ -44,12 +42,18 @@ def profile(text: str | None) -> np.ndarray | None:
     s = alphabet()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
     if not s.any():
         return None
-    s = np.concatenate(([0], s, [0])).astype(np.int32)
+    s = np.concatenate(([0], s, [0]))
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]  # a run of other characters is one border
-    grams, counts = np.unique((s[:-2] << 12) | (s[1:-1] << 6) | s[2:], return_counts=True)
-    a, b, c = letters()
-    bound = a[grams >> 12] * b[(grams >> 6) & 63] * c[grams & 63]
-    return counts.astype(np.float32) @ bound.astype(np.float32)
+    points, at = np.unique(s, return_inverse=True)
+    v = letters(points)
+    first, second = np.roll(v, 2, 1), np.roll(v, 1, 1)  # permuted for the first and second place
+    grams, counts = np.unique((at[:-2] * len(points) + at[1:-1]) * len(points) + at[2:], return_counts=True)
+    out = np.zeros(DIM)
+    for i in range(0, len(grams), GRAMS):
+        g = grams[i : i + GRAMS]
+        bound = first[g // len(points) ** 2] * second[g // len(points) % len(points)] * v[g % len(points)]
+        out += counts[i : i + GRAMS].astype(np.float32) @ bound.astype(np.float32)
+    return out
 
 
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
@@ -59,10 +63,11 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                p = profile(text)
-                if p is not None:
-                    sums[lang] = sums.get(lang, 0) + p.astype(np.float64) / max(np.linalg.norm(p), 1e-9)
+            for part in blocks(batch, "text"):
+                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
+                    p = profile(text)
+                    if p is not None:
+                        sums[lang] = sums.get(lang, 0) + p / max(np.linalg.norm(p), 1e-9)
         for lang, v in sums.items():
             # Whole numbers add up alike in any order.
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(np.round(v * 1e6).astype(np.int64))], ["lang", "i", "x"])
@@ -103,7 +108,9 @@ def language_id(docs: DataFrame, sample: int = 20_000) -> DataFrame:
 
     Learns from text and non-null lang of rows whose crc32(doc_id as text) mod 5 is not 0 (held_out says it is; a
     null doc_id is not held out), about sample rows of each language, chosen by a hash of doc_id. Empty tables,
-    or none to learn from, give und. Repeated rows get equal answers.
+    or none to learn from, give und, as do null, empty and letterless texts; very long ones are profiled whole. Ties go to
+    the name that sorts first. Repeated rows get equal answers. Columns of docs called held_out, lang_pred or score are
+    replaced, others of any name stay.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     open_ = docs.filter(~out & F.col("lang").isNotNull())

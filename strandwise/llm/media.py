@@ -3,8 +3,8 @@
 A payload is cut where a rolling gear hash of its last 32 bytes has its top bits zero. Chunks whose digest occurs
 more than once go to a pool, where a Spark aggregation keeps one of each digest; all others stay in their document's
 manifest. A manifest lists its chunks in order; reading joins the pooled ones back by digest, checks every digest and
-puts the media together. Which digests repeat is told by a bit table of fixed size: a false hit only sends a single
-chunk to the pool. The stored form is a WAV file of 8-bit mono samples.
+puts the media together. Which digests repeat is told by a bit table, which grows with their number up to a bound: a
+false hit only sends a single chunk to the pool. The stored form is a WAV file of 8-bit mono samples.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import blocks, cut, utf8
 
 UNIT = 576  # the payload is a multiple of so many bytes
 LEAST, MEAN_BITS, MOST = 256, 10, 4096  # bytes of a chunk: least, mean as a power of two over the least, most
-BITS = 33_554_393  # of the table, whose size doesn't grow with the data
+ROOM, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28  # bits of the table for each digest that repeats, and its bounds
 RATE = 8000
 _GEAR = np.random.default_rng(23).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -81,19 +81,20 @@ def _keyed(batches):
 
 def store(docs: DataFrame, path: str) -> None:
     """Writes docs (doc_id, text) as path/manifests and path/pool. Null texts count as empty; an empty text is UNIT
-    bytes 255; repeated rows get a manifest each over the same chunks; an empty table gives empty tables."""
+    bytes 255; very long texts are cut a block at a time; repeated rows get a manifest each over the same chunks; an empty
+    table gives empty tables. Other columns, whatever their names, are ignored."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    often = texts.select("text").mapInArrow(_keyed, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    bits = often.select(F.pmod("key", F.lit(BITS)).alias("bit"))
-    words = bits.selectExpr("int(bit div 64) as w", "shiftleft(1L, int(bit % 64)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    table = np.zeros(BITS // 64 + 1, np.uint64)
-    for r in words:
-        table[r.w] = r.b & (2**64 - 1)
+    often = cut(texts.select("text").mapInArrow(_keyed, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    size = min(MOST_BITS, max(LEAST_BITS, ROOM * often.count()))
+    bits = often.select(F.pmod("key", F.lit(size)).alias("bit"))
+    words = bits.selectExpr("int(bit div 64) as w", "shiftleft(1L, int(bit % 64)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(size // 64 + 1, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     held = spark.sparkContext.broadcast(table)
 
     def repeats(d: bytes) -> int:
-        at = _key(d) % BITS
+        at = _key(d) % size
         return int(held.value[at >> 6]) >> (at & 63) & 1
 
     def manifests(batches):
@@ -115,6 +116,7 @@ def store(docs: DataFrame, path: str) -> None:
     rows.write.option("compression", "zstd").parquet(f"{path}/manifests")
     pool = texts.select("text").mapInArrow(pooled, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
     pool.write.option("compression", "zstd").parquet(f"{path}/pool")
+    held.destroy()
 
 
 def feature(samples: np.ndarray) -> str:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut, written
+
 SLICES = 4096  # time slices over the whole range of the records
 
 # Query parameters that don't tell resources apart, and fields that a 304 must not replace.
@@ -59,13 +61,14 @@ def resolve(records: DataFrame) -> DataFrame:
     compared weakly; if either side lacks one, Last-Modified is; if either lacks both, the response is taken
     (state unchecked). Otherwise the state is resolved, or mismatch with no headers and body; no_response has no
     response_id. Revisits without url or ts are no_response; responses without them, or without record_id, are left
-    out. Repeated revisits each get a row; of responses repeated with one record_id one is taken. An empty table gives
-    no rows. Extra columns are ignored.
+    out. Repeated revisits each get a row; of responses repeated with one record_id one is taken; of equal times the
+    larger record_id is the later. Null and empty header blocks have no fields; bodies of any length move once. An empty
+    table gives no rows. Extra columns, whatever their names, are ignored.
     """
     found = fields(F.col("headers"))
     rows = records.select("record_id", "ts", "body", canonical_url(F.col("url")).alias("site"), found.alias("fields"), (F.col("type") == "response").alias("full"), "type", "status", "profile")
-    full = rows.filter("type = 'response' and status = 200 and site is not null and ts is not null and record_id is not null").dropDuplicates(["record_id"])
-    revisits = rows.filter((F.col("type") == "revisit") & F.col("profile").contains("server-not-modified"))
+    full = rows.filter("type = 'response' and status = 200 and site is not null and ts is not null and record_id is not null")
+    revisits = rows.filter((F.col("type") == "revisit") & F.col("profile").contains("server-not-modified")).drop("body")
 
     span = records.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     keys = full.select("site", "ts", "record_id", F.lit(True).alias("full")).union(revisits.filter("site is not null and ts is not null").select("site", "ts", "record_id", F.lit(False)).distinct())
@@ -78,16 +81,23 @@ def resolve(records: DataFrame) -> DataFrame:
     asof = asof.select(F.col("record_id").alias("rid"), F.col("ts").alias("rts"), F.col("site").alias("rsite"), F.coalesce("here", "carried")["record_id"].alias("response_id"))
 
     same = F.col("record_id").eqNullSafe(F.col("rid")) & (F.col("ts") == F.col("rts")) & (F.col("site") == F.col("rsite"))
-    out = revisits.drop("body").join(asof, same, "left").drop("rid", "rts", "rsite")
-    out = out.join(full.select(F.col("record_id").alias("response_id"), F.col("fields").alias("old"), "body"), "response_id", "left")
+    found = cut(revisits.join(asof, same, "left").select("record_id", F.col("fields").alias("new"), "response_id"))
+    # Only responses that are asked for move with their bodies; what joins them is written, so that Spark splits the
+    # revisits of a response that many share. Revisits without one take no part.
+    asked = found.filter("response_id is not null")
+    needed = asked.select("response_id").distinct()
+    held = full.select(F.col("record_id").alias("response_id"), F.col("fields").alias("old"), "body").join(needed, "response_id", "left_semi").dropDuplicates(["response_id"])
+    out = asked.join(written(held, "responses"), "response_id")
     plain = lambda c: F.regexp_replace(c, "^W/", "")
-    etags = plain(_first(F.col("fields"), "etag")) == plain(_first(F.col("old"), "etag"))
-    dates = _first(F.col("fields"), "last-modified") == _first(F.col("old"), "last-modified")
+    etags = plain(_first(F.col("new"), "etag")) == plain(_first(F.col("old"), "etag"))
+    dates = _first(F.col("new"), "last-modified") == _first(F.col("old"), "last-modified")
     agree = F.coalesce(etags, dates)
-    state = F.when(F.col("response_id").isNull(), "no_response").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("mismatch")
+    state = F.when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("mismatch")
     out = out.withColumn("state", state)
     good = F.col("state").isin("resolved", "unchecked")
-    return out.select("record_id", "state", "response_id", F.when(good, merged(F.col("old"), F.col("fields"))).alias("headers"), F.when(good, F.col("body")).alias("body"))
+    out = out.select("record_id", "state", "response_id", F.when(good, merged(F.col("old"), F.col("new"))).alias("headers"), F.when(good, F.col("body")).alias("body"))
+    none = found.filter("response_id is null").select("record_id", F.lit("no_response").alias("state"), "response_id")
+    return out.unionByName(none, allowMissingColumns=True)
 
 
 def captures(pages: DataFrame) -> DataFrame:
