@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.arrays import dot, normalise
 
 
-
 def initial(signals: DataFrame, atoms: int) -> DataFrame:
     """(atom, vec): unit vectors of the atoms signals whose hashes are lowest; a dictionary's size is a setting."""
     rows = signals.filter(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(atoms)
@@ -27,17 +26,27 @@ def first_atom(signals: DataFrame, atoms: DataFrame) -> DataFrame:
     return best.select("id", (-F.col("b.t")).alias("atom"), F.col("b.d").alias("coef"))
 
 
+MOST_ATOMS = 65_536
+
+
+def _table(atoms: DataFrame) -> np.ndarray:
+    """The atoms in order, for the driver: a dictionary's size is a setting, and one over MOST_ATOMS raises ValueError."""
+    rows = atoms.orderBy("atom").limit(MOST_ATOMS + 1).collect()
+    if len(rows) > MOST_ATOMS:
+        raise ValueError(f"more than {MOST_ATOMS} atoms")
+    return np.array([r.vec for r in rows], np.float64)
+
+
 def encode(signals: DataFrame, atoms: DataFrame, sparsity: int) -> DataFrame:
     """signals (id, vec) with terms, array<struct<atom, coef>>, by greedy matching pursuit without re-fitting: up to
-    sparsity steps, each atom once, stopping below 1e-9."""
-    table = np.array([r.vec for r in atoms.orderBy("atom").collect()], np.float64)  # atoms: a setting's number
-    held = signals.sparkSession.sparkContext.broadcast(table)
+    sparsity steps, each atom once, stopping below 1e-9; and left, what the terms leave of vec."""
+    held = signals.sparkSession.sparkContext.broadcast(_table(atoms))
 
-    @F.pandas_udf("array<struct<atom int, coef double>>")
-    def pursue(col: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<terms array<struct<atom int, coef double>>, left array<double>>")
+    def pursue(col: pd.Series) -> pd.DataFrame:
         out = []
         for x in col:
-            left, used, terms = np.asarray(x, np.float64).copy(), np.zeros(len(held.value), bool), []
+            left, used, terms = np.array(x, np.float64), np.zeros(len(held.value), bool), []
             for _ in range(min(sparsity, len(used))):
                 d = held.value @ left
                 i = int(np.argmax(np.where(used, -1.0, np.abs(d))))
@@ -46,18 +55,22 @@ def encode(signals: DataFrame, atoms: DataFrame, sparsity: int) -> DataFrame:
                 used[i] = True
                 left -= d[i] * held.value[i]
                 terms.append({"atom": i, "coef": float(d[i])})
-            out.append(terms)
-        return pd.Series(out)
+            out.append((terms, left))
+        return pd.DataFrame(out, columns=["terms", "left"])
 
-    return signals.withColumn("terms", pursue(F.col("vec").cast("array<double>")))
+    coded = signals.withColumn("coded_", pursue(F.col("vec").cast("array<double>")))
+    return coded.withColumn("terms", F.col("coded_.terms")).withColumn("left", F.col("coded_.left")).drop("coded_")
 
 
-def decode(coded: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(id, vec): the sums of each signal's terms, in joins and grouped sums."""
+def decode(coded: DataFrame, atoms: DataFrame, with_left: bool = False) -> DataFrame:
+    """(id, vec): the sums of each signal's terms, in joins and grouped sums; with_left adds what they left, which restores
+    the signal up to the rounding of doubles."""
     terms = coded.select("id", F.explode("terms").alias("t")).select("id", "t.atom", "t.coef").join(atoms.withColumnRenamed("vec", "a"), "atom")
     parts = terms.select("id", "coef", F.posexplode("a").alias("pos", "x")).groupBy("id", "pos").agg(F.sum(F.col("coef") * F.col("x")).alias("x"))
-    sums = parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p")).select("id", F.transform("p", lambda e: e["x"]).alias("vec"))
-    return coded.select("id", F.size("vec").alias("n")).join(sums, "id", "left").select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), F.col("n"))).alias("vec"))
+    sums = parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p")).select("id", F.transform("p", lambda e: e["x"]).alias("sum"))
+    rows = coded.select("id", "left").join(sums, "id", "left")
+    total = F.coalesce("sum", F.transform("left", lambda x: F.lit(0.0)))
+    return rows.select("id", (F.zip_with(total, "left", lambda x, y: x + y) if with_left else total).alias("vec"))
 
 
 def learn(signals: DataFrame, atoms: int, iterations: int, sparsity: int | None = None) -> DataFrame:
@@ -66,8 +79,7 @@ def learn(signals: DataFrame, atoms: int, iterations: int, sparsity: int | None
     sparsity = sparsity or max(1, atoms // 64)
     spark, table = signals.sparkSession, initial(signals, atoms)
     for _ in range(iterations):
-        rows = [(r.atom, r.vec) for r in table.orderBy("atom").collect()]
-        held = spark.sparkContext.broadcast(np.array([v for _, v in rows], np.float64))
+        held = spark.sparkContext.broadcast(_table(table))
         coded = encode(signals, table, sparsity)
 
         def moments(batches):

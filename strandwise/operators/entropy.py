@@ -46,10 +46,17 @@ def frequencies(counts: list[int]) -> list[int]:
     return out
 
 
-def tables(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, symbol, freq, start): the normalised table of each context over all symbols from 0 to its largest."""
+def tables(counts: DataFrame, keys: list[str], alphabet: int | None = None, contexts: DataFrame | None = None) -> DataFrame:
+    """(keys, symbol, freq, start): the normalised table of each context over all symbols from 0 to its largest, or to
+    alphabet - 1 (symbols beyond it aren't counted). Contexts (keys) that have no counts get the uniform table of the
+    alphabet, as an adaptive model does for what it hasn't met."""
+    if alphabet is not None:
+        counts = counts.filter(F.col("symbol").between(0, alphabet - 1))
     packed = counts.groupBy(*keys).agg(F.max("symbol").alias("top"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("m"))
-    dense = packed.withColumn("c", F.transform(F.sequence(F.lit(0), F.col("top")), lambda s: F.coalesce(F.element_at("m", s), F.lit(0))))
+    if contexts is not None:
+        packed = contexts.select(*keys).distinct().join(packed, keys, "left")
+    top = F.lit(alphabet - 1) if alphabet is not None else F.coalesce("top", F.lit(0))
+    dense = packed.withColumn("c", F.transform(F.sequence(F.lit(0), top), lambda s: F.coalesce(F.element_at("m", s), F.lit(0)).cast("long")))
 
     @F.pandas_udf("array<long>")
     def normal(col: pd.Series) -> pd.Series:

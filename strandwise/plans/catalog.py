@@ -11,7 +11,6 @@ from ..operators import dictionary, entropy, features, harmonic, islands, scan,
 from . import codec
 
 SMALL = CodecConfig(min_block=64, max_block=512, energy_threshold=0.5, zcr_threshold=0.2, flux_threshold=4000.0, wavelet_levels=3, max_harmonics=4, slice_len=4096, lsh_tables=2, lsh_bits=6)
-PLAIN = CodecConfig(min_block=64, max_block=512, energy_threshold=0.5, wavelet_levels=3, harmonic=False, graph=False, slice_len=4096)
 ATOMS = 16
 
 
@@ -276,11 +275,16 @@ def mp_step1(spark, d):
 
 
 def sparse_roundtrip(spark, d):
-    """Root mean square of what two atoms leave of each vector."""
+    """Each vector from its terms and what they left."""
     coded = dictionary.encode(_vectors(spark, d), _atoms(spark, d), 2)
-    back = dictionary.decode(coded, _atoms(spark, d)).withColumnRenamed("vec", "b")
-    gap = F.zip_with(F.col("vec").cast("array<double>"), "b", lambda x, y: x - y)
-    return coded.join(back, "id").select("id", F.size("terms").alias("terms"), F.round(F.sqrt(arrays.dot(gap, gap)), 6).alias("left"))
+    back = dictionary.decode(coded, _atoms(spark, d), with_left=True).select("id", F.posexplode("vec").alias("pos", "x"))
+    return back.select("id", "pos", F.round("x", 6).alias("x"))
+
+
+def sparse_error(spark, d):
+    """The length of what one atom leaves of each vector."""
+    coded = dictionary.encode(_vectors(spark, d), _atoms(spark, d), 1)
+    return coded.select("id", F.size("terms").alias("terms"), F.round(F.sqrt(arrays.dot("left", "left")), 6).alias("length"))
 
 
 def ksvd_learn(spark, d):
@@ -289,15 +293,29 @@ def ksvd_learn(spark, d):
 
 
 def encode_decode_fast(spark, d):
-    return codec.decode(codec.encode(_signal(spark, d, "event_type"), PLAIN, 1000), PLAIN)
+    return codec.decode(codec.encode(_signal(spark, d, "event_type"), CodecConfig.fast(), 1000), CodecConfig.fast())
 
 
 def encode_decode_best(spark, d):
-    return codec.decode(codec.encode(_signal(spark, d, "event_type"), SMALL, 1000), SMALL)
+    return codec.decode(codec.encode(_signal(spark, d, "event_type"), CodecConfig.best(), 1000), CodecConfig.best())
 
 
 def compression_ratio(spark, d):
-    return codec.sizes(codec.encode(_signal(spark, d, "event_type"), PLAIN, 1000))
+    return codec.sizes(codec.encode(_signal(spark, d, "event_type"), SMALL, 1000))
+
+
+def context_tables(spark, d):
+    """Tables of an alphabet of 24 symbols; contexts are bands 0 to 2 of each series, of which band 2 has no counts."""
+    counts = flagship(spark, d)
+    contexts = counts.select("series", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("band"))
+    return entropy.tables(counts, ["series", "band"], 24, contexts)
+
+
+def inverse_transform(spark, d):
+    """The samples of each block of 64, padded with zeros, back from its Fourier transform."""
+    blocks = _blocks(spark, d).select("series", "block", F.transform("samples", lambda x: x.cast("double")).alias("re"), F.transform("samples", lambda x: F.lit(0.0)).alias("im"))
+    back = features.transform(features.transform(blocks), inverse=True)
+    return back.select("series", "block", F.posexplode("re").alias("pos", "x")).withColumn("x", F.round("x", 3))
 
 
 def _sig(key: str = "user_id") -> str:
@@ -436,7 +454,19 @@ _ALL = {
     "mp_step1": (mp_step1, f"""WITH dbl AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
         d AS (SELECT s.id, CAST(a.id AS INTEGER) AS atom, list_dot_product(s.vec, a.vec) / sqrt(list_dot_product(a.vec, a.vec)) AS d FROM dbl s, dbl a WHERE a.id < {ATOMS}),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(abs(d), 6) DESC, atom) AS o FROM d) SELECT id, atom, round(d, 5) AS coef FROM r WHERE o = 1"""),
-    "sparse_roundtrip": (sparse_roundtrip, None),
+    "sparse_roundtrip": (sparse_roundtrip, "SELECT vec_id AS id, CAST(pos AS INTEGER) AS pos, round(CAST(embedding[pos + 1] AS DOUBLE), 6) AS x FROM (SELECT *, unnest(range(0, len(embedding))) AS pos FROM embeddings)"),
+    "sparse_error": (sparse_error, f"""WITH dbl AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+        d AS (SELECT s.id, list_dot_product(s.vec, s.vec) AS l, list_dot_product(s.vec, a.vec) / sqrt(list_dot_product(a.vec, a.vec)) AS d FROM dbl s, dbl a WHERE a.id < {ATOMS})
+        SELECT id, 1 AS terms, round(sqrt(greatest(0.0, l - max(d * d))), 6) AS length FROM d GROUP BY id, l"""),
+    "inverse_transform": (inverse_transform, f"""WITH {_BLOCKS}, size AS (SELECT DISTINCT series, block, n FROM named),
+        places AS (SELECT series, block, unnest(range(0, CAST(2 ** ceil(log2(n)) AS BIGINT))) AS pos FROM size)
+        SELECT p.series, p.block, CAST(p.pos AS INTEGER) AS pos, round(CAST(coalesce(v, 0) AS DOUBLE), 3) AS x FROM places p LEFT JOIN named n ON n.series = p.series AND n.block = p.block AND n.pos = p.pos"""),
+    "context_tables": (context_tables, f"""WITH {_SYMBOLS}, t AS (SELECT series, band, CAST(sum(n) AS BIGINT) AS t FROM hist WHERE symbol < 24 GROUP BY ALL),
+        c AS (SELECT *, unnest(range(0, 24)) AS symbol FROM (SELECT DISTINCT series, unnest([0, 1, 2]) AS band FROM hist)),
+        dense AS (SELECT c.series, c.band, c.symbol, CASE WHEN t IS NULL THEN 16384 // 24 + CASE WHEN c.symbol < 16384 % 24 THEN 1 ELSE 0 END WHEN n > 0 THEN greatest(1, n * 16384 // t) ELSE 0 END AS f
+            FROM c LEFT JOIN t USING (series, band) LEFT JOIN hist h ON h.series = c.series AND h.band = c.band AND h.symbol = c.symbol),
+        fixed AS (SELECT *, f + CASE WHEN row_number() OVER (PARTITION BY series, band ORDER BY f DESC, symbol) = 1 THEN 16384 - CAST(sum(f) OVER (PARTITION BY series, band) AS BIGINT) ELSE 0 END AS freq FROM dense)
+        SELECT series, band, CAST(symbol AS INTEGER) AS symbol, freq, CAST(sum(freq) OVER (PARTITION BY series, band ORDER BY symbol) AS BIGINT) - freq AS start FROM fixed"""),
     "ksvd_learn": (ksvd_learn, None),
     "encode_decode_fast": (encode_decode_fast, f"WITH {_sig('event_type')} SELECT series, idx, v FROM sig"),
     "encode_decode_best": (encode_decode_best, f"WITH {_sig('event_type')} SELECT series, idx, v FROM sig"),
