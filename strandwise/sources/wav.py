@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -96,10 +97,11 @@ def header(rate: int, channels: int, frames: int, fmt: str) -> bytes:
 
 
 def _place(path: str) -> tuple[pa_fs.FileSystem, str]:
-    """The file system of a path as Spark names it, and the path there."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    return pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path)
+    """The file system of a path as Spark names it, which is not quoted, and the path there."""
+    scheme, colon, rest = path.partition(":/")
+    if not colon or scheme == "file":
+        return pa_fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else path
+    return pa_fs.FileSystem.from_uri(f"{scheme}:/{quote(rest)}")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -107,14 +109,76 @@ def test_scans_over_slices(spark):
     assert got.filter("p is null").count() == 4 and got.filter("n is null").count() == 3
 
 
+def test_number_spreads_an_outlier(spark):
+    """One id far from all others mustn't put these into one part."""
+    df = spark.createDataFrame([(0, i, 0) for i in range(5000)] + [(0, 10**15, 0), (1, 3, 0), (0, None, 0)], "series long, id long, _s long")
+    df = df.select("series", "id")
+    got = {(r.series, r.id): r.idx for r in scan.number(df, ["series"], "id").collect()}
+    assert got == {(0, i): i for i in range(5000)} | {(0, 10**15): 5000, (0, None): 5001, (1, 3): 0}
+    cuts = df.agg(F.percentile_approx("id", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1280)).alias("_cuts"))
+    sizes = df.crossJoin(cuts).groupBy(scan._part(F.col("id"), F.col("_cuts"), 0, 63)).count().collect()
+    assert max(r["count"] for r in sizes) < 300
+
+
+def test_autocorrelation_by_slices(spark):
+    data = random_series(2, 1000, 5, 1)
+    got = {(r.series, r.lag): r.r for r in harmonic.autocorrelation(rows(spark, data), 2, 40, size=64).collect()}
+    for k, x in data.items():
+        x = np.array(x, float)
+        for lag in range(2, 41):
+            if lag < len(x):
+                a, b = x[:-lag], x[lag:]
+                assert got.pop((k, lag)) == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)))
+    assert not got
+
+
+def test_references_as_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(5, 8))[rng.integers(0, 5, 120)] + rng.normal(0, 0.2, (120, 8)), 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [1.0])], "id long, vec array<double>")
+    signed = scan.cut(similarity.signatures(df, 3, 4, 8))
+    buckets = {(r.id, r.tbl): r.hash for r in signed.collect()}
+    assert len(buckets) == 360
+    got = {r.tgt: (r.ref, r.similarity) for r in similarity.references(signed, df, 0.8, block=16).collect()}
+    want = {}
+    for t in range(120):
+        pairs = [(round(float(x[r] @ x[t] / np.sqrt((x[r] @ x[r]) * (x[t] @ x[t]))), 9), -min(k for k in range(3) if buckets[r, k] == buckets[t, k]), -r) for r in range(t) if any(buckets[r, k] == buckets[t, k] for k in range(3))]
+        if pairs and max(pairs)[0] >= 0.8:
+            want[t] = (-max(pairs)[2], max(pairs)[0])
+    assert got == want and want
+
+
 @pytest.mark.parametrize(("counts", "n"), [([1] * 10, 10), ([9000, *[1] * 30], 31), ([0, 0, 0, 100], 4), ([10**9, *[1] * 300], 301), ([0, 0], 2)])
 def test_frequencies(counts, n):
     f = entropy.frequencies(counts)
-    assert sum(f) == 1 << entropy.BITS and len(f) == n and min(f) >= 1
+    assert sum(f) == 1 << entropy.BITS and len(f) == n
+    assert all((x > 0) == (c > 0) for x, c in zip(f, counts, strict=True)) or not any(counts)
+
+
+def plain_frequencies(counts, scale=16_384):
+    """Step by step: what lacks or is over goes one by one to or from the largest."""
+    total = sum(counts)
+    if not total:
+        return [scale // len(counts) + (i < scale % len(counts)) for i in range(len(counts))]
+    f = [max(1, c * scale // total) if c else 0 for c in counts]
+    while sum(f) != scale:
+        f[f.index(max(f))] += 1 if sum(f) < scale else -1
+    return f
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.just(0), st.integers(1, 3), st.integers(0, 10**6)), min_size=1, max_size=60))
+def test_frequencies_step_by_step(counts):
+    assert entropy.frequencies(counts) == plain_frequencies(counts)
+
+
+def test_frequencies_known():
+    assert entropy.frequencies([10, 0, 0, 10]) == [8192, 0, 0, 8192] and entropy.frequencies([0, 0, 0, 100]) == [0, 0, 0, 16_384]
+    assert entropy.frequencies([0, 0, 0]) == [5462, 5461, 5461] and entropy.frequencies([]) == []
 
 
 @pytest.mark.parametrize(("seed", "n", "top"), [(1, 10_000, 10), (3, 100, 1), (9, 1, 1)])
-def test_rans(spark, seed, n, top):
+def test_rans(seed, n, top):
     x = np.random.default_rng(seed).integers(0, top, n).tolist()
     f = entropy.frequencies(np.bincount(x).tolist())
     assert entropy.rans_decode(entropy.rans_encode(x, f), f, n) == x
@@ -176,38 +240,114 @@ def test_dictionary(spark):
     exact = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(atoms)], "atom int, vec array<double>")
     back = {r.id: r.vec for r in dictionary.decode(dictionary.encode(df, exact, 2), exact).collect()}
     assert all(np.allclose(back[i], v) for i, v in x) and back[99] == [0.0] * 8
+    coded = dictionary.encode(df, exact, 1)
+    rough, whole = ({r.id: r.vec for r in dictionary.decode(coded, exact, with_left=w).collect()} for w in (False, True))
+    assert all(np.allclose(whole[i], v) for i, v in x) and not all(np.allclose(rough[i], v) for i, v in x)
 
 
-@pytest.mark.parametrize("cfg", [CodecConfig(min_block=64, max_block=256, wavelet_levels=3, harmonic=False, graph=False, slice_len=500), CodecConfig(min_block=64, max_block=128, wavelet_levels=2, max_harmonics=4, lsh_tables=2, lsh_bits=4, similarity=0.5)])
-def test_codec_restores(spark, cfg, tmp_path):
-    i = np.arange(700)
-    tone = np.trunc(np.sin(2 * np.pi * 220 * i / 44_100) * 16_000).astype(int)
-    tone[(i // 128) % 3 == 0] = 0
-    data = {0: tone.tolist(), 1: random_series(4, 130)[0], 2: [7]}
-    frames = codec.encode(rows(spark, data), cfg)
-    frames.write(f"{tmp_path}/frames")
-    assert lists(codec.decode(codec.Frames.read(spark, f"{tmp_path}/frames"), cfg)) == data
+def voice(n, channels, rate=44_100, depth=16):
+    """Tones with noise, silent for a third of the time."""
+    rng, i, top = np.random.default_rng(1), np.arange(n), 2 ** (depth - 1) - 1
+    out = [np.trunc(np.sin(2 * np.pi * 220 * (c + 1) * i / rate) * 0.5 * top).astype(int) + rng.integers(-50, 51, n) for c in range(channels)]
+    return {c: np.where(i // 500 % 3 == 0, 0, x).tolist() for c, x in enumerate(out)}
+
+
+NONE = {"graph": False, "harmonic": False, "bitplane": False}
+SETTINGS = {
+    "mono_basic": (1, 16, "fast", NONE), "stereo_basic": (2, 16, "fast", NONE), "24bit_basic": (2, 24, "fast", NONE), "stereo_bitplane": (2, 16, "fast", NONE | {"bitplane": True}),
+    "stereo_blockgraph": (2, 16, "fast", NONE | {"graph": True, "min_block": 256, "max_block": 1024}), "mono_harmonic": (1, 16, "fast", NONE | {"harmonic": True, "max_harmonics": 4}),
+    "stereo_full": (2, 16, "best", {"min_block": 256, "max_block": 2048, "max_harmonics": 4}), "mono_no_wavelet": (1, 16, "fast", NONE | {"wavelet_levels": 0}),
+}
 
 
-@pytest.mark.parametrize("fmt", ["int16", "int24", "int32", "float64"])
+@pytest.mark.parametrize("name", SETTINGS)
+def test_codec_restores(spark, name, tmp_path):
+    channels, depth, preset, changes = SETTINGS[name]
+    cfg, data, told = replace(getattr(CodecConfig, preset)(), **changes), voice(2500, channels, depth=depth), []
+    frames = codec.encode(rows(spark, data), cfg, progress=lambda share, phase: told.append((share, phase)))
+    frames.write(f"{tmp_path}/frames")
+    frames = codec.Frames.read(spark, f"{tmp_path}/frames")
+    assert lists(codec.decode(frames, cfg)) == data
+    for r in codec.sizes(frames).collect():
+        assert r.total_bytes == r.payload_bytes + r.extra_bytes + r.table_bytes + r.meta_bytes + r.model_bytes < 2500 * depth / 8
+    assert [s for s, _ in told] == sorted(s for s, _ in told) and told[0] == (0.0, "segmentation") and told[-1] == (1.0, "done")
+
+
+def test_codec_any_pattern(spark):
+    """Shortest, longest and extreme values, contexts of several slices, planes past the shared one."""
+    rng = np.random.default_rng(4)
+    data = {0: rng.integers(-(2**63), 2**63 - 1, 300).tolist() + [2**63 - 1, -(2**63)], 1: [7], 2: [0] * 200, 3: rng.integers(-3, 4, 700).tolist()}
+    for bitplane in (False, True):
+        cfg = CodecConfig(min_block=64, max_block=128, wavelet_levels=0, harmonic=False, graph=False, slice_len=100, bitplane=bitplane)
+        assert lists(codec.decode(codec.encode(rows(spark, data), cfg), cfg)) == data
+    assert codec.decode(codec.encode(rows(spark, {}), cfg), cfg).isEmpty()
+
+
+def test_codec_sees_damage(spark):
+    cfg = CodecConfig(min_block=64, max_block=128, wavelet_levels=1, harmonic=False, graph=False)
+    frames = codec.encode(rows(spark, {0: random_series(4, 130)[0]}), cfg)
+    worse = replace(frames, codes=frames.codes.withColumn("payload", F.expr("concat(substring(payload, 1, 1), x'ff00', substring(payload, 4, 1000000))")))
+    with pytest.raises(Exception, match="corrupt|fit|index"):
+        codec.decode(worse, cfg).collect()
+
+
+def test_files_restore(spark, tmp_path):
+    """WAV to frames to identical WAV."""
+    data, cfg = voice(1500, 2, depth=24), replace(CodecConfig.fast(), min_block=256)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    body = wav.pack(np.stack([data[0], data[1]], 1).ravel(), "int24")
+    for name in ("a.wav", "b#1.wav"):
+        (tmp_path / "in" / name).write_bytes(wav.header(48_000, 2, 1500, "int24") + body)
+    codec.encode_files(spark, f"{tmp_path}/in", f"{tmp_path}/frames", cfg)
+    done = codec.decode_files(spark, f"{tmp_path}/frames", f"{tmp_path}/out", cfg).collect()
+    assert sorted(r.bytes for r in done) == [44 + len(body)] * 2
+    for name in ("a.wav", "b#1.wav"):
+        assert (tmp_path / "out" / name).read_bytes() == (tmp_path / "in" / name).read_bytes()
+
+
+def test_wav_read_by_ranges(spark, tmp_path, monkeypatch):
+    """Only headers are probed, and blocks are read apart: a file that lacks its samples has a header still."""
+    n = 65_536 * 2 + 10
+    v = np.arange(n) % 30_000
+    (tmp_path / "a.wav").write_bytes(wav.header(8000, 1, n, "int16") + wav.pack(v, "int16"))
+    got = {r.block: r for r in wav.read(spark, f"{tmp_path}/a.wav").collect()}
+    assert sorted(got) == [0, 1, 2] and got[2].offset == 65_536 * 2 and np.concatenate([got[i].samples for i in range(3)]).tolist() == v.tolist()
+    big = tmp_path / "big.wav"
+    with big.open("wb") as f:  # 5 GB that take no room
+        f.write(wav.header(8000, 2, 1_250_000_000, "int16"))
+        f.truncate(f.tell() + 5_000_000_000)
+    r = wav.probe(spark, str(big)).first()
+    assert (r.container, r.frames, r.truncated) == ("RF64", 1_250_000_000, False)
+    assert wav.read(spark, f"{tmp_path}/big.wav").filter("block = 19000").count() == 2
+
+
+@pytest.mark.parametrize("fmt", ["int16", "int24", "int32", "float32", "float64"])
 def test_wav_files(spark, tmp_path, fmt):
-    top = {"int16": 2**15, "int24": 2**23, "int32": 2**31, "float64": 2**62}[fmt]
+    top = {"int16": 2**15, "int24": 2**23, "int32": 2**31, "float32": 2**31, "float64": 2**62}[fmt]
     rng = np.random.default_rng(1)
     want = rng.integers(-top, top, (2, 101))
-    df = spark.createDataFrame([("a", c, 0, want[c].tolist()) for c in range(2)], "path string, channel int, block int, samples array<long>")
-    content = wav.contents(df, 48_000, fmt).first().content
-    (tmp_path / "a.wav").write_bytes(content)
-    (tmp_path / "cut.wav").write_bytes(content[:-20])
-    facts = {r.path.rsplit("/", 1)[1]: r for r in wav.probe(spark, f"{tmp_path}/*.wav").collect()}
-    assert facts["a.wav"].frames == 101 and facts["a.wav"].format == fmt and not facts["a.wav"].truncated and facts["cut.wav"].truncated
-    got = {r.channel: r.samples for r in wav.read(spark, f"{tmp_path}/a.wav").collect()}
+    df = spark.createDataFrame([("x/a", c, 0, want[c].tolist()) for c in range(2)] + [("b", 0, i, [i] * 3) for i in range(2)], "path string, channel int, block int, samples array<long>")
+    files = spark.createDataFrame([("x/a", 48_000, 2, 101, fmt), ("b", 8000, 1, 6, fmt)], "path string, sample_rate long, channels int, frames long, format string")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "r").mkdir()
+    assert {r.path.rsplit("/", 1)[1] for r in wav.write(df, files, f"{tmp_path}/w").collect()} == {"a", "b"}
+    content = (tmp_path / "w" / "a").read_bytes()
+    assert len(content) % 2 == 0 and sorted(p.name for p in (tmp_path / "w").iterdir() if p.suffix != ".crc") == ["a", "b"]
+    (tmp_path / "w" / "cut.wav").write_bytes(content[:-20])
+    facts = {r.path.rsplit("/", 1)[1]: r for r in wav.probe(spark, f"{tmp_path}/w").collect()}
+    assert facts["a"].frames == 101 and facts["a"].format == fmt and not facts["a"].truncated and facts["cut.wav"].truncated
+    got = {r.channel: r.samples for r in wav.read(spark, f"{tmp_path}/w/a").collect()}
     assert got == {0: want[0].tolist(), 1: want[1].tolist()}
-    (tmp_path / "a.pcm").write_bytes(wav.contents(df, 48_000, fmt, raw=True).first().content)
-    assert {r.channel: r.samples for r in wav.read_raw(spark, f"{tmp_path}/a.pcm", 2, fmt).collect()} == got
+    wav.write(df, files, f"{tmp_path}/r", raw=True)
+    assert {r.channel: r.samples for r in wav.read_raw(spark, f"{tmp_path}/r/a", 2, fmt).collect()} == got
+    with pytest.raises(Exception, match="lacks samples"):
+        wav.write(df.filter("channel = 0"), files, f"{tmp_path}/r")
 
 
 def test_bad_files():
-    for data in (b"", b"RIFF0000WAVE", wav.header(1, 1, 0, "int16").replace(b"\x10\0data", b"\x08\0data")):
+    whole = wav.header(1, 1, 0, "int16")
+    for data in (b"", b"RIFF0000WAVE", whole.replace(b"\x10\0data", b"\x08\0data"), whole[:30], b"RIFF0000WAVEfmt \x04\0\0\0\1\0\1\0", b"RF640000WAVEds64\x1c\0\0\0\0\0"):
         with pytest.raises(ValueError):
             wav.parse(data)
     assert wav.parse(wav.header(44_100, 2, 2**31, "int16"))["container"] == "RF64"
@@ -224,6 +364,19 @@ def test_streams(spark, tmp_path):
     assert [(r.n, r.energy) for r in spark.table("energies").collect()] == [(10, 10_000.0)] * 6
 
 
+def test_sessions(spark, tmp_path):
+    from strandwise.streaming import features as stream
+
+    at = [0, 10, 25, 70, 80, 200]
+    ts = pd.to_datetime("2024-01-01") + pd.to_timedelta(at, unit="min")
+    spark.createDataFrame(pd.DataFrame({"user_id": [1] * 5 + [2], "ts": ts})).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    q = stream.sessions(live).writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    minutes = lambda t: int((t - pd.Timestamp("2024-01-01").to_pydatetime()).total_seconds() / 60)
+    assert sorted((r.user_id, minutes(r.start), minutes(r.stop), r.n) for r in spark.table("sessions").collect()) == [(1, 0, 55, 3), (1, 70, 110, 2), (2, 200, 230, 1)]
+
+
 def test_streamed_segments(spark, tmp_path):
     from strandwise.streaming import features as stream
 
