@@ -93,10 +93,14 @@ def _ratio(bad: np.ndarray, n: np.ndarray, p: np.ndarray | float) -> np.ndarray:
         return 2 * (np.nan_to_num(bad * np.log(bad / (n * p))) + np.nan_to_num((n - bad) * np.log((n - bad) / (n * (1 - p)))))
 
 
-def telling_pairs(y: np.ndarray, terms: list[np.ndarray], df: np.ndarray, bad: np.ndarray, screen: float, most: int = 4096) -> np.ndarray:
+def telling_pairs(y: np.ndarray, terms: list[np.ndarray], buckets: int, screen: float, most: int = 2048) -> np.ndarray:
     """The buckets of pairs whose joint rate of label 1 lies outside what either bucket alone, none, or both independently
     lead to, at a log-likelihood ratio over screen. Looked at are the most buckets that most rows of label 1 hold, a fiftieth
     of them and 4 at least: a pair met in fewer couldn't pass."""
+    if not 0 < y.sum() < len(y):
+        return np.zeros(0, np.int64)
+    df = np.bincount(np.concatenate(terms), minlength=buckets)
+    bad = np.bincount(np.concatenate([*(t for t, v in zip(terms, y, strict=True) if v), np.zeros(0, np.int32)]), minlength=buckets)
     total, share = float(y.sum()), float(y.mean())
     cand = np.flatnonzero(bad >= max(4, total / 50))
     cand = np.sort(cand[np.argsort(-bad[cand], kind="stable")[:most]])
@@ -105,24 +109,18 @@ def telling_pairs(y: np.ndarray, terms: list[np.ndarray], df: np.ndarray, bad: n
     rows = [c[c >= 0] for c in (at[t] for t in terms)]
     rate = (bad[cand] + share) / (df[cand] + 1)
     logit = np.log(rate / (1 - rate)) - np.log(share / (1 - share))
-    for start in range(0, len(cand), 256):
-        stop = min(start + 256, len(cand))
-        n, b = np.zeros((stop - start, len(cand)), np.float32), np.zeros((stop - start, len(cand)), np.float32)
-        for first in range(0, len(rows), 1024):
-            part = rows[first : first + 1024]
-            x = np.zeros((len(part), len(cand)), np.float32)
-            x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate([*part, np.zeros(0, np.int32)])] = 1
-            own = x[:, start:stop]
-            n += own.T @ x
-            label = y[first : first + 1024] > 0
-            b += own[label].T @ x[label]
-        both = 1 / (1 + np.exp(-(logit[start:stop, None] + logit[None, :] + np.log(share / (1 - share)))))
-        low = np.minimum(np.minimum(rate[start:stop, None], rate[None, :]), np.minimum(both, share))
-        high = np.maximum(np.maximum(rate[start:stop, None], rate[None, :]), np.maximum(both, share))
-        ratio = np.where(b > n * high, _ratio(b, n, high), np.where(b < n * low, _ratio(b, n, low), 0.0))
-        hit = (n >= 4) & (ratio > screen)
-        found[start:stop] |= hit.any(1)
-        found |= hit.any(0)
+    n, b = np.zeros((len(cand), len(cand)), np.float32), np.zeros((len(cand), len(cand)), np.float32)
+    for first in range(0, len(rows), 512):
+        part, label = rows[first : first + 512], y[first : first + 512] > 0
+        x = np.zeros((len(part), len(cand)), np.float32)
+        x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate([*part, np.zeros(0, np.int32)])] = 1
+        n += x.T @ x
+        b += x[label].T @ x[label]
+    for i in range(len(cand)):
+        both = 1 / (1 + np.exp(-(logit[i] + logit + np.log(share / (1 - share)))))
+        low, high = np.minimum(np.minimum(rate[i], rate), np.minimum(both, share)), np.maximum(np.maximum(rate[i], rate), np.maximum(both, share))
+        ratio = np.where(b[i] > n[i] * high, _ratio(b[i], n[i], high), np.where(b[i] < n[i] * low, _ratio(b[i], n[i], low), 0.0))
+        found[i] = ((n[i] >= 4) & (ratio > screen)).any()
     return cand[found]
 
 
@@ -131,8 +129,8 @@ def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], bucket
     those kept by Adam on the penalised logistic loss.
 
     A bucket is kept if label 1 is commoner in its texts (4 at least) than in all and the log-likelihood ratio of that
-    is over screen, or if it is one of a pair that tells (telling_pairs, over pairs: there are more of them to choose
-    from); so the thousands of indifferent terms of a long text add no noise. Equal term sets of one label count once.
+    is over screen, or if it is one of a pair that tells among the texts without such a term (telling_pairs, over pairs:
+    there are more of them to choose from); so the thousands of indifferent terms of a long text add no noise. Equal term sets of one label count once.
     No rows give score 0.1, labels of one kind their smoothed share.
     """
     seen = {(float(v), hashlib.sha256(t.tobytes()).digest()): i for i, (v, t) in enumerate(zip(y, terms, strict=True))}
@@ -144,7 +142,11 @@ def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], bucket
     keep = np.zeros(0, np.int64)
     if 0 < y.sum() < len(y):
         alone = np.flatnonzero((df >= 4) & (bad > df * share) & (_ratio(bad, df, share) > screen))
-        keep = np.union1d(alone, telling_pairs(y, terms, df, bad, pairs))
+        # Pairs are looked for where no single term tells, so that they don't repeat what single ones say.
+        told = np.zeros(buckets, bool)
+        told[alone] = True
+        rest = [i for i, t in enumerate(terms) if not told[t].any()]
+        keep = np.union1d(alone, telling_pairs(y[rest], [terms[i] for i in rest], buckets, pairs))
     n, at = len(keep), np.full(buckets, -1, np.int32)
     at[keep] = np.arange(n)
     own, cols = np.repeat(np.arange(len(y), dtype=np.int32), [len(t) for t in terms]), at[flat]
