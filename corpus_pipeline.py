@@ -1,5 +1,11 @@
 """The corpus pipeline: toxic documents go, boilerplate lines go, one near-duplicate of each group stays, sources are
-mixed to their weights, and what is left is encoded as tokens. Each stage is written as Parquet and read again."""
+mixed to their weights, and what is left is encoded as tokens. Each stage is written as Parquet and read again.
+
+Stages take documents with nulls in any column: a null or empty text is no toxic one, has no lines, is no copy, has no
+words (one copy stays) and no tokens; a null source is a source of its own. Rows repeated with one doc_id and text leave
+one at near-dedup. Very long texts are taken whole. All but the last return COLUMNS; other columns, whatever their
+names, don't go on. An empty table gives none.
+"""
 
 from __future__ import annotations
 
