@@ -9,8 +9,9 @@ from .scan import number, running_sum
 
 
 def from_events(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """(series, idx, v): value in hundredths, in the order of event_id within key."""
-    rows = events.select(F.col(key).alias("series"), "event_id", F.round(F.col("value") * 100).cast("long").alias("v"))
+    """(series, idx, v): value in hundredths, in the order of event_id within key. Events that lack one of the three are left
+    out."""
+    rows = events.dropna(subset=[key, "event_id", "value"]).select(F.col(key).alias("series"), "event_id", F.round(F.col("value") * 100).cast("long").alias("v"))
     return number(rows, ["series"], "event_id").select("series", "idx", "v")
 
 

@@ -109,6 +109,18 @@ def test_scans_over_slices(spark):
     assert got.filter("p is null").count() == 4 and got.filter("n is null").count() == 3
 
 
+def test_scans_keep_clashing_columns(spark):
+    names = ["_s", "_v", "_b", "_i", "_t", "_p", "_own", "_n", "_cuts"]
+    df = spark.createDataFrame([(k, i, i, *["x"] * len(names)) for k in (0, 1) for i in range(20)] + [(None, 0, 0, *["x"] * len(names))], "series long, idx long, v long, " + ", ".join(f"{n} string" for n in names))
+    for out in (
+        scan.running_sum(df, ["series"], F.col("v"), "o", size=4), scan.last_before(df, ["series"], F.col("v"), "o", size=4), scan.number(df, ["series"], "v", "o"),
+        scan.neighbours(df, ["series"], lambda w: {"o": F.lag("v").over(w)}, before=1, size=4).filter("series is not null"),
+    ):
+        got = out.collect()
+        assert out.columns == [*df.columns, "o"] and len(got) == 40 and all(r[n] == "x" for r in got for n in names)
+    assert scan.running_sum(df.limit(0), ["series"], F.col("v"), "o").isEmpty() and scan.number(df.limit(0), ["series"], "v", "o").isEmpty()
+
+
 def test_number_spreads_an_outlier(spark):
     """One id far from all others mustn't put these into one part."""
     df = spark.createDataFrame([(0, i, 0) for i in range(5000)] + [(0, 10**15, 0), (1, 3, 0), (0, None, 0)], "series long, id long, _s long")
