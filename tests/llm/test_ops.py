@@ -10,19 +10,21 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from strandwise.llm import bpe, hnsw, language, media, near_dedup, secrets, toxicity, warc
+from strandwise.llm import bpe, hnsw, language, media, mixing, near_dedup, secrets, toxicity, warc
 from strandwise.llm.components import connected_components
 from strandwise.llm.line_dedup import line_dedup
+from strandwise.llm import line_dedup as line_dedup_module
 from strandwise.llm.mixing import mix, mix_plan
 from strandwise.llm.shingles import shingle_sets
 
-SCHEMA = "doc_id long, text string, source string, lang string, score string, ids string, found string, n_lines string, size string"
+# Columns beside the first four clash with what operators add or use inside.
+SCHEMA = "doc_id long, text string, source string, lang string, score string, ids string, found string, n_lines string, size string, bad string, copies string, th string, column_0 string, held_out string, decoded string"
 LONG = "lorem ipsum dolor " * 20_000
 
 
 def docs(spark, rows):
     """rows are (doc_id, text, source, lang); the other columns clash with what operators add."""
-    return spark.createDataFrame([(*r, "x", "x", "x", "x", "x") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, *["x"] * 11) for r in rows], SCHEMA)
 
 
 def edges(spark):
@@ -64,6 +66,33 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(empty(spark), lab).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["xor", "and"])
+def test_toxicity_learns_pairs_of_neutral_terms(kind):
+    """The label is an interaction of two words, neither of which tells anything alone."""
+    rng, rows = random.Random(3), []
+    for _ in range(3000):
+        a, b = (rng.random() < (0.5 if kind == "xor" else 0.2) for _ in range(2))
+        body = [f"w{rng.randrange(300)}" for _ in range(30)] + ["qqaa"] * a + ["zzbb"] * b
+        rows.append((float(a != b if kind == "xor" else a and b), " ".join(rng.sample(body, len(body)))))
+    y, terms = np.array([v for v, _ in rows]), [toxicity.Hasher(1 << 18)(t) for _, t in rows]
+    m = toxicity.fit(y[:2000], [np.array(list(t), np.int32) for t in terms[:2000]], [np.array(list(t.values()), np.int32) for t in terms[:2000]], 1 << 18)
+    hashed, right = toxicity.Hasher(1 << 18, m.at), 0
+    for v, text in rows[2000:]:
+        t = hashed(text)
+        # A machine by its formula, pair by pair.
+        ids, x = list(t), [float(np.log2(1 + n)) for n in t.values()]
+        z = m.bias + sum(m.w[i] * a for i, a in zip(ids, x, strict=True)) + sum(float(m.v[ids[i]] @ m.v[ids[j]]) * x[i] * x[j] for i in range(len(ids)) for j in range(i))
+        assert m.score(t) == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+        right += (m.score(t) >= 0.3) == (v > 0)
+    assert right >= 990
+
+
+def test_toxicity_sample_is_bounded(spark):
+    df = docs(spark, [(i % 3, f"word{i} idiot", "a", "en") for i in range(60)])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    assert toxicity.toxicity(df, lab, sample=2).count() == 60
+
+
 def test_machine_counts_pairs():
     m = toxicity.Machine(4, 0.0, np.arange(4), np.array([1.0, 2.0, 0, 0]), np.array([[1.0], [2.0], [0], [0]]))
     assert m.score({0: 1}) == pytest.approx(1 / (1 + np.exp(-1))) and m.score({0: 1, 1: 1}) == pytest.approx(1 / (1 + np.exp(-5)))
@@ -87,6 +116,29 @@ def test_secrets_infer_format(spark):
     assert [(secrets.KINDS[k], b - a) for a, k, b in scanner.spans(text)] == [("format", 40)]
 
 
+def test_secrets_keep_lengths(spark):
+    rng = random.Random(5)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    tree = secrets._tree(hexes).merge()
+    seen, todo = {0}, [0]
+    while todo:
+        for to, _ in tree.moves[todo.pop()].values():
+            if to not in seen:
+                seen.add(to)
+                todo.append(to)
+    assert 40 < len(seen) < 400
+    right, wrong = tree.bits(hexes[0]) / 40, tree.bits(hexes[0][:30]) / 30
+    assert right > wrong + 0.1
+
+
+def test_secrets_take_values_and_candidates_whole():
+    """Runs are cut at base spans alone, and long ones aren't cut at all."""
+    text = "x " + "Z" * 5000 + " " + "Q7q" * 5 + "0123456789abcdef" + "Ww8" * 5 + " short"
+    base = secrets.base_spans(text)
+    assert [(text[a:b]) for a, _, b in base] == ["0123456789abcdef"]
+    assert [text[a:b] for a, b in secrets.candidates(text, base)] == ["Z" * 5000, "Q7q" * 5, "Ww8" * 5]
+
+
 @pytest.mark.parametrize("share", [1, 40])
 def test_secrets_unlabelled_in_the_sample(spark, share):
     """Secrets without a keyword are in the texts learned from, too; they must neither teach the ordinary model nor lift
@@ -140,6 +192,31 @@ def test_nearest_recall_and_copies(spark):
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_repeated_ids_and_huge_components(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) if i != 50] + [(50, x[51].tolist())] * 8 + [(100, (x[7] * 1e200).tolist()), (101, (x[7] * -1e300).tolist()), (102, (x[7] * 1e-300).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, df.filter("vec_id in (50, 100)"), 5)
+    found = got.collect()
+    own = {q: [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (50, 100)}
+    assert own[50][0][0] == 51 and own[50][0][1] == pytest.approx(1) and len({i for i, _ in own[50]}) == 5
+    assert [i for i, _ in own[100][:2]] == [7, 102] and all(s == pytest.approx(1) for _, s in own[100][:2]) and 101 not in dict(own[100])
+
+
+def test_nearest_recall_in_production(spark):
+    """Shards and width of the query, on vectors without any structure, against brute force."""
+    x = np.random.default_rng(8).normal(size=(9000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, hits = x[::150] + 0.02, 0
+    for part in (x[:4500], x[4500:]):
+        order, levels = hnsw.build(part)
+        ids = order[hnsw.search(part[order].astype(np.float32), levels, q, 6, 128)]
+        want = np.argsort(-(q @ part.T), 1)[:, :5]
+        hits += sum(len(set(a[:6].tolist()) & set(b.tolist())) for a, b in zip(ids, want, strict=True))
+    assert hits >= 0.9 * 2 * 5 * len(q)
+
+
 def test_nearest_ties_of_multiples(spark):
     rng = np.random.default_rng(4)
     v = rng.integers(-50, 50, 8)
@@ -154,13 +231,40 @@ def test_nearest_ties_of_multiples(spark):
 # 4
 
 
-def test_line_dedup(spark):
+def plain_lines(rows, ratio, least):
+    """Pages that hold each line over its host's pages, and what that leaves."""
+    pages, held = {}, {}
+    for _, t, h, _ in rows:
+        if t is not None:
+            pages[h] = pages.get(h, 0) + 1
+            for x in set(t.split("\n")):
+                held[h, x] = held.get((h, x), 0) + 1
+    out = []
+    for i, t, h, _ in rows:
+        keep = None if t is None else [x for x in t.split("\n") if not x.strip(" ") or held[h, x] < least or held[h, x] <= ratio * pages[h]]
+        out.append((i, None if t is None else "\n".join(keep), 0 if t is None else len(t.split("\n")), 0 if t is None else len(t.split("\n")) - len(keep)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("ratio", "least", "few"), [(0.02, 2, 10**6), (0.2, 1, 10**6), (0.05, 2, 0)])
+def test_line_dedup_as_brute_force(spark, monkeypatch, ratio, least, few):
+    monkeypatch.setattr(line_dedup_module, "FEW", few)  # 0: hosts are dealt into shares
+    rng, lines = random.Random(7), [f"line {i}" for i in range(60)]
+    rows = [(i, "\n".join(rng.choice([*lines[:6], lines[rng.randrange(60)], f"own {i}", "", " "]) for _ in range(rng.randrange(9))), rng.choice(["hot", "hot", "a", "b", None]), "en") for i in range(300)]
+    rows += [(900, None, "a", "en"), (901, "Menu", "hot", "en"), (901, "Menu", "hot", "en"), (902, LONG, "a", "en"), (None, "line 1", None, "en")]
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup(docs(spark, rows), ratio=ratio, least=least).collect()), key=str)
+    assert got == plain_lines(rows, ratio, least)
+
+
+def test_line_dedup_opt_ins(spark):
     rows = [(i, f"Menu\nown {i}\n\nshared {i % 2}" if i < 10 else "Menu", "h", "en") for i in range(12)] + [(20, "Menu\nx", None, "en")]
-    got = {r.doc_id: r for r in line_dedup(docs(spark, rows), ratio=0.6, least=5).collect()}
+    got = {r.doc_id: r for r in line_dedup(docs(spark, rows), ratio=0.6, least=5, keep_stubs=True).collect()}
     assert got[3].text == "own 3\n\nshared 1" and got[3].n_dropped == 1 and got[3].n_lines == 4
     assert got[11].text == "Menu" and got[11].n_dropped == 0 and got[20].text == "Menu\nx"
-    out = line_dedup(edges(spark)).collect()
-    assert len(out) == 9 and {r.n_lines for r in out if r.text is None} == {0} and line_dedup(empty(spark)).count() == 0
+    copies = [(i, "one\ntwo", "h", "en") for i in range(9)] + [(20 + i, f"own {i}", "h", "en") for i in range(4)]
+    assert {r.n_dropped for r in line_dedup(docs(spark, copies), ratio=0.5, distinct_pages=True).collect()} == {0}
+    out = line_dedup(edges(spark))
+    assert out.count() == 9 and set(out.columns) == set(edges(spark).columns) | {"n_dropped"} and line_dedup(empty(spark)).count() == 0
 
 
 # 5
@@ -228,6 +332,31 @@ def test_mix_meets_targets(spark):
     assert mix(docs(spark, rows)).count() == sum(r.copies for r in got)
 
 
+def test_mix_rates_are_the_tilt(spark):
+    """The dual's solution: rate = min(cap, exp(tilt * size / mean)) with one tilt a source that meets the target."""
+    counts = spark.createDataFrame([("a", s, 1 + s % 3) for s in range(1, 60)] + [("b", 5, 7), ("b", 9, 1), (None, 1, 1)], "source string, size long, n long")
+    own = {}
+    for r in counts.collect():
+        own.setdefault(r.source, []).append((r.size, r.n))
+    target = {"a": 0.7, "b": 2.2, None: 0.3}
+    rows = [(k, sum(s * n for s, n in v), sum(n for _, n in v), target[k] * sum(s * n for s, n in v)) for k, v in own.items()]
+    sources = spark.createDataFrame([(*r, max(1.0, r[1] / r[2])) for r in rows], "source string, source_size long, docs long, target double, mean double")
+    for r in mixing.balance(counts, sources, 3).collect():
+        got = sum(n * s * min(3, np.exp(r.tilt * s / r["mean"])) for s, n in own[r.source])
+        assert abs(got - r.target) < 2e-3 + 1e-6 * r.target
+    with pytest.raises(RuntimeError):
+        mixing.balance(counts, sources, 3, steps=2)
+
+
+def test_mix_tells_rows_without_id_apart(spark):
+    rng = random.Random(3)
+    rows = [(None, words(rng, 10 + i % 40), "a", "en") for i in range(2000)] + [(i, words(rng, 20), "b", "en") for i in range(2000)]
+    got = mix_plan(docs(spark, rows)).collect()
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert len(own) == 2000 and abs(sum(r.taken for r in own) - own[0].target) < 0.01 * own[0].target
+
+
 def test_mix_edges(spark):
     got = mix_plan(edges(spark)).collect()
     assert len(got) == 9 and sum(r.size for r in got) == 60_000 + 1 + 6 + 2 + 5
@@ -276,6 +405,37 @@ def test_near_duplicates_as_brute_force(spark, monkeypatch, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_meet_in_blocks(spark, monkeypatch):
+    """Many sets a little under and over the limit in long lists: blocks of a few sets link what brute force links."""
+    monkeypatch.setattr(near_dedup, "LIST", 4)
+    monkeypatch.setattr(near_dedup, "HEADS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 8)
+    monkeypatch.setattr(near_dedup, "SHARE", 16)
+    rng, rows = random.Random(11), []
+    base = words(rng, 120).split()
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4))):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "a", "en"))
+    got = near_dedup.near_duplicates(docs(spark, rows), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
+
+
+def test_rows_without_id_bridge_and_leave_one(spark):
+    rng = random.Random(12)
+    w = words(rng, 100).split()
+    other = words(rng, 50)
+    a, b, c = " ".join(w), " ".join(w[:94]), " ".join(w[:88])  # a and c link only by b
+    rows = [(7, a, "a", "en"), (None, b, "a", "en"), (9, c, "a", "en"), (None, other, "a", "en"), (None, other, "b", "en"), (None, other.upper(), "b", "en"), (3, None, "a", "en"), (3, None, "a", "en")]
+    got = near_dedup.near_duplicates(docs(spark, rows), 3, 85).collect()
+    assert {r.component_id for r in got if r.doc_id in (7, 9)} == {7} and sorted(r.component_id or -1 for r in got if r.doc_id is None) == [-1, -1, -1, 7]
+    left = near_dedup.drop_near_duplicates(docs(spark, rows), 3, 85)
+    assert left.columns == docs(spark, rows).columns
+    left = left.collect()
+    assert sorted(str(r.doc_id) for r in left) == ["3", "3", "7", "None"] and sum(r.doc_id is None for r in left) == 1
+
+
 def test_near_duplicates_edges(spark):
     got = near_dedup.near_duplicates(edges(spark)).collect()
     assert len(got) == 9 and [r.kept for r in got if r.doc_id is None] == [False] and {r.component_id for r in got if r.doc_id == 5} == {5}
@@ -292,9 +452,16 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100, 103: 100}
 
 
-def test_shingles_of_a_block_are_those_of_each_text():
+def test_shingles_of_a_block_are_those_of_each_text(monkeypatch):
     import pyarrow as pa
 
+    from strandwise.llm import shingles
+
+    long = [" ".join(f"w{i}" for i in range(500)), "x" * 700, "a\t" + "y" * 300 + " b"]
+    before = shingle_sets(pa.array(long), 3)
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    assert all((a == b).all() for a, b in zip(before, shingle_sets(pa.array(long), 3), strict=True)) and len(before[0]) == 498
+
     texts = ["a b c d", None, "", "A B", "a b", " x\ty z\n", "é ß " * 50]
     whole = shingle_sets(pa.array(texts), 3)
     assert all((a == shingle_sets(pa.array([t], pa.string()), 3)[0]).all() for a, t in zip(whole, texts, strict=True))
@@ -367,6 +534,38 @@ def test_language(spark):
     assert np.mean([r.lang_pred == r.lang for r in got if r.held_out]) > 0.98
 
 
+def plain_profile(text):
+    """Trigrams bound and bundled one by one."""
+    letters = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text]
+    s = [0] + letters + [0]
+    s = [x for i, x in enumerate(s) if i == 0 or x or s[i - 1]]
+    vec = lambda p: language.letters(np.array([p]))[0].astype(int)
+    return sum(np.roll(vec(a), 2) * np.roll(vec(b), 1) * vec(c) for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+
+def test_profiles_one_by_one(monkeypatch):
+    monkeypatch.setattr(language, "GRAMS", 7)
+    for text in ("Hello, wörld!", "привет мир", "日本語 テキスト", "ΑΒΓ αβγ", "a"):
+        assert (language.profile(text) == plain_profile(text)).all()
+    v = language.letters(np.arange(1, 3000))
+    assert np.abs(v.astype(int) @ v[0].astype(int))[1:].max() < 0.3 * language.DIM and abs(float(v.mean())) < 0.01
+
+
+def test_languages_of_other_scripts(spark):
+    """Two languages of one script that isn't Latin are told apart by their letters."""
+    rng = random.Random(13)
+    langs = {"ru": "про ние ост ста что ать ого при", "uk": "ння від ськ йно ого про ії ись"}
+    rows = [(i, " ".join("".join(rng.choice(langs[k].split()) for _ in range(3)) for _ in range(30)), "a", k) for i in range(200) for k in [list(langs)[i % 2]]]
+    got = language.language_id(docs(spark, rows)).collect()
+    learnt = [r for r in got if not r.held_out]
+    protos = {k: sum(p / np.linalg.norm(p) for p in (language.profile(r.text) for r in learnt if r.lang == k)) for k in langs}
+    for r in got:
+        p = language.profile(r.text)
+        cos = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, v in protos.items()}
+        assert r.lang_pred == max(cos, key=cos.get) and r.score == pytest.approx(max(cos.values()), abs=1e-5)
+    assert np.mean([r.lang_pred == r.lang for r in got if r.held_out]) > 0.98
+
+
 def test_language_edges(spark):
     got = language.language_id(edges(spark)).collect()
     assert len(got) == 9 and {r.lang_pred for r in got if not re.search(r"[^\W\d_]", r.text or "")} == {"und"}
