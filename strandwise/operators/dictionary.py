@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, normalise
+from ..functions.arrays import normalise
 
 
 def initial(signals: DataFrame, atoms: int) -> DataFrame:
@@ -19,13 +19,6 @@ def initial(signals: DataFrame, atoms: int) -> DataFrame:
     return rows.select((F.row_number().over(W.orderBy(F.xxhash64("id"), "id")) - 1).alias("atom"), normalise(F.col("vec").cast("array<double>"), 1e-12).alias("vec"))
 
 
-def first_atom(signals: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(id, atom, coef): the atom of largest absolute dot product with each signal, the lowest of equals."""
-    scored = signals.crossJoin(F.broadcast(atoms.withColumnRenamed("vec", "a"))).withColumn("d", dot("vec", "a"))  # atoms: a setting's number
-    best = scored.groupBy("id").agg(F.max(F.struct(F.round(F.abs("d"), 6).alias("m"), (-F.col("atom")).alias("t"), "d")).alias("b"))
-    return best.select("id", (-F.col("b.t")).alias("atom"), F.col("b.d").alias("coef"))
-
-
 MOST_ATOMS = 65_536
 
 
@@ -37,6 +30,23 @@ def _table(atoms: DataFrame) -> np.ndarray:
     return np.array([r.vec for r in rows], np.float64)
 
 
+def first_atom(signals: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(id, atom, coef): the atom of largest absolute dot product with each signal (rounded to 6 digits), the lowest of
+    equals. Null signals have none and are left out; without atoms there are no rows."""
+    table = _table(atoms)
+    if not len(table):
+        return signals.limit(0).select("id", F.lit(0).alias("atom"), F.lit(0.0).alias("coef"))
+    held = signals.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("struct<atom int, coef double>")
+    def best(col: pd.Series) -> pd.DataFrame:
+        d = np.stack(col.to_list()).astype(np.float64) @ held.value.T if len(col) else np.zeros((0, 1))
+        at = np.round(np.abs(d), 6).argmax(1)
+        return pd.DataFrame({"atom": at.astype(np.int32), "coef": d[np.arange(len(at)), at]})
+
+    return signals.filter("vec is not null").select("id", best(F.col("vec").cast("array<double>")).alias("b")).select("id", "b.atom", "b.coef")
+
+
 def encode(signals: DataFrame, atoms: DataFrame, sparsity: int) -> DataFrame:
     """signals (id, vec) with terms, array<struct<atom, coef>>, by greedy matching pursuit without re-fitting: up to
     sparsity steps, each atom once, stopping below 1e-9; and left, what the terms leave of vec."""
