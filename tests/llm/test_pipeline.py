@@ -82,7 +82,7 @@ CLASHES = ["score", "predicted", "held_out", "bad", "lines", "left", "th", "copi
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_on_odd_rows(spark, tmp_path, stage):
     """Nulls in any column, empty and very long texts, repeated rows, clashing columns, and an empty table."""
-    spark.createDataFrame([(3, 0, 0), (4, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*((i, 0, 0) for i in range(8)), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(*r, *["x"] * len(CLASHES)) for r in ODD], schema + "".join(f", {c} string" for c in CLASHES))
     name, run = corpus_pipeline.STAGES[stage]
