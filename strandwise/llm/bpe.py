@@ -172,29 +172,42 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with a column ids, array<int>: the tokens of each whole text by the ranks in path, as a narrow map.
+def _ids(it: Coder, texts: pa.Array) -> pa.ListArray:
+    codes = [it.encode(t) if t else np.zeros(0, np.int32) for t in texts.to_pylist()]
+    ends = np.cumsum([0] + [len(c) for c in codes]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32)))
 
-    path must name the file on every executor. Null and empty texts have no ids. Repeated rows stay; a column of
-    docs already called ids is replaced; an empty table gives no rows.
+
+def _bytes(it: Coder, ids: pa.ListArray) -> pa.Array:
+    return pa.array([it.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in ids], pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, with_decoded: bool = False) -> DataFrame:
+    """docs with a column ids, array<int>: the tokens of each whole text by the ranks in path, as a narrow map; and
+    with_decoded one called decoded, binary, the bytes of these ids, in the same pass.
+
+    path must name the file on every executor. Null and empty texts have no ids; very long ones are encoded whole, as trees.
+    Repeated rows stay; columns of docs already called so are replaced, others of any name stay; an empty table gives no
+    rows.
     """
-    docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("ids", *["decoded"] * with_decoded).withColumn("text", F.col("text").cast("string"))
+    more = {"ids": F.lit(None).cast("array<int>")} | ({"decoded": F.lit(None).cast("binary")} if with_decoded else {})
+    names = list(more)
 
     def run(batches):
         it = coder(path, pattern)
         for batch in batches:
             for part in blocks(batch, "text"):
-                codes = [it.encode(t) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0] + [len(c) for c in codes]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+                ids = _ids(it, part.column("text"))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *([_bytes(it, ids)] if with_decoded else [])], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, docs.withColumn("ids", F.lit(None).cast("array<int>")).schema)
+    return docs.mapInArrow(run, docs.withColumns(more).schema)
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """coded with a column decoded, binary: the bytes of each row's ids. Null or no ids give no bytes; an id outside
-    the ranks raises KeyError, since bytes left out would go unseen."""
+    the ranks raises KeyError, since bytes left out would go unseen. A column of coded called decoded is replaced, others of
+    any name stay; an empty table gives no rows."""
     coded = coded.drop("decoded")
 
     def run(batches):
@@ -202,7 +215,6 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                out = [it.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _bytes(it, part.column("ids"))], [*part.schema.names, "decoded"])
 
     return coded.mapInArrow(run, coded.withColumn("decoded", F.lit(None).cast("binary")).schema)
