@@ -27,7 +27,7 @@ from .common import blocks
 
 LEAF = 2048  # characters of a leaf, and ids of one in decoding
 BYTES = 16  # bytes of a piece that are merged as a leaf
-MEMO = 100_000  # pieces that a worker remembers, and pairs of tokens
+MEMO = 150_000  # pieces of each of two generations that a worker remembers, and pairs of tokens
 ROWS = 256  # rows that are decoded at once
 SHORT = 96  # bytes up to which a window is merged by plain search, and characters of a piece that is remembered
 
@@ -41,6 +41,7 @@ class Coder:
         self.tokens = {i: b for b, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
@@ -109,12 +110,15 @@ class Coder:
             w = max(1, w * 2)
 
     def code(self, piece: str) -> bytes:
-        """The ids of one piece as int32 bytes."""
-        data = piece.encode()
-        found = array("i", map(self.ranks.__getitem__, [data] if data in self.ranks else self.piece(data))).tobytes()
+        """The ids of one piece as int32 bytes. A full memo becomes the older one, from which pieces that are met again come
+        back, so frequent ones stay."""
+        found = self.older.get(piece)
+        if found is None:
+            data = piece.encode()
+            found = array("i", map(self.ranks.__getitem__, [data] if data in self.ranks else self.piece(data))).tobytes()
         if len(piece) <= SHORT:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
             self.memo[piece] = found
         return found
 
