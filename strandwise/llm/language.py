@@ -18,6 +18,7 @@ from .common import blocks, mix
 
 DIM = 512
 GRAMS = 4096  # trigrams whose vectors are held at once
+MOST = 4096  # letters whose vectors a worker remembers
 
 
 @lru_cache(1)
@@ -37,6 +38,35 @@ def letters(points: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.astype("<u8").view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
+class Table:
+    """The vectors of the letters that a worker has met, permuted for each place; over MOST letters it begins anew."""
+
+    def __init__(self):
+        self.row = np.full(0x110000, -1, np.int32)
+        self.begin(np.zeros(1, np.int64))
+
+    def begin(self, points: np.ndarray) -> None:
+        self.points, v = points, letters(points)
+        self.row[points] = np.arange(len(points))
+        self.first, self.second, self.third = np.roll(v, 2, 1), np.roll(v, 1, 1), v
+
+    def at(self, s: np.ndarray) -> np.ndarray:
+        """The rows of the letters s."""
+        out = self.row[s]
+        if (out < 0).any():
+            new = np.unique(s[out < 0])
+            if len(self.points) + len(new) > MOST:
+                self.row[self.points] = -1
+                self.begin(np.unique(np.append(s, 0)))
+            else:
+                self.begin(np.append(self.points, new))
+            out = self.row[s]
+        return out.astype(np.int64)
+
+
+table = lru_cache(1)(Table)
+
+
 def profile(text: str | None) -> np.ndarray | None:
     """The bundled trigrams of a whole text; None if it has no letter."""
     s = alphabet()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -44,14 +74,14 @@ def profile(text: str | None) -> np.ndarray | None:
         return None
     s = np.concatenate(([0], s, [0]))
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]  # a run of other characters is one border
-    points, at = np.unique(s, return_inverse=True)
-    v = letters(points)
-    first, second = np.roll(v, 2, 1), np.roll(v, 1, 1)  # permuted for the first and second place
-    grams, counts = np.unique((at[:-2] * len(points) + at[1:-1]) * len(points) + at[2:], return_counts=True)
+    held = table()
+    at = held.at(s)
+    n = len(held.points)
+    grams, counts = np.unique((at[:-2] * n + at[1:-1]) * n + at[2:], return_counts=True)
     out = np.zeros(DIM)
     for i in range(0, len(grams), GRAMS):
         g = grams[i : i + GRAMS]
-        bound = first[g // len(points) ** 2] * second[g // len(points) % len(points)] * v[g % len(points)]
+        bound = held.first[g // n**2] * held.second[g // n % n] * held.third[g % n]
         out += counts[i : i + GRAMS].astype(np.float32) @ bound.astype(np.float32)
     return out
 
