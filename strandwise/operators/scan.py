@@ -6,6 +6,8 @@ which there is one row each. So a series that holds most of all rows is spread l
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,11 +19,14 @@ SLICE = 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that spark.checkpoint.dir names or the session was given; ValueError
-    where there is none, since executors elsewhere can't read a folder of one machine."""
+    """Cuts the lineage by a checkpoint in the folder that spark.checkpoint.dir names or the session was given. Where there is
+    none, one of our own if all runs in this process (tests), else ValueError, since executors elsewhere can't read a
+    folder of one machine."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        if not (named := spark.conf.get("spark.checkpoint.dir", None)):
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        named = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="spark-") if local else None)
+        if not named:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named)
     return df.checkpoint()
