@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,11 +17,13 @@ BATCH = 4 << 20  # bytes of an Arrow batch
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one that spark.checkpoint.dir names or the session was given.
-    ValueError where there is none, since a folder of one machine would lose what executors elsewhere write."""
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names or the session was given. Where there
+    is none, one of our own if all runs in this process (tests), else ValueError, since a folder of one machine would
+    lose what executors elsewhere write."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not (named := spark.conf.get("spark.checkpoint.dir", None)):
+        named = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="spark-") if re.fullmatch(r"local(\[.*\])?", sc.master) else None)
+        if not named:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
