@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,12 +53,90 @@ def signatures(vectors: DataFrame, tables: int, bits: int, dims: int, scale: flo
     return rows.select("id", F.posexplode("h").alias("tbl", "hash"))
 
 
-def candidates(signed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(ref, tgt, first_table): pairs ref < tgt that share a bucket of some table, and of the columns by, once each. Spark
-    splits large buckets of the join among tasks."""
-    keys = [*(by or []), "tbl", "hash"]
-    a, b = signed.withColumnRenamed("id", "ref"), signed.withColumnRenamed("id", "tgt")
-    return a.join(b, keys).filter("ref < tgt").groupBy(*(by or []), "ref", "tgt").agg(F.min("tbl").alias("first_table"))
+def _dealt(signed: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """signed with part and pair (x, y): each bucket's members are dealt into parts of about block, and a member goes to each
+    pair of parts that its own is in, so that a group of keys and pair is bounded whatever the bucket's size. A bucket of one
+    has no rows."""
+    parts = signed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys, F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = signed.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("x"), F.greatest("part", j).alias("y")))
+    return dealt.withColumn("pair", F.explode(met)).drop("parts")
+
+
+def candidates(signed: DataFrame, by: list[str] | None = None, vectors: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """(by, ref, tgt, first_table): pairs ref < tgt that share a bucket of some table, and of the columns by, once each; with
+    vectors (id, vec) also their cosine as similarity, 0 where either squared norm is 1e-12 or less.
+
+    A pair is returned by the first bucket that both are in, which each member's own list of buckets tells, so pairs are never
+    gathered to be counted once; vectors travel with members, not with pairs."""
+    by = by or []
+    keys = [*by, "tbl", "hash"]
+    # Nothing else is kept of repeated rows.
+    own = signed.select(*by, "id", F.struct(F.col("tbl").cast("long").alias("tbl"), F.col("hash").cast("long").alias("hash")).alias("b"))
+    own = own.filter("b.tbl is not null and b.hash is not null").groupBy(*by, "id").agg(F.collect_set("b").alias("buckets"))
+    rows = own.select(*by, "id", F.explode("buckets").alias("b"), F.transform("buckets", lambda x: x["tbl"]).alias("tbls"), F.transform("buckets", lambda x: x["hash"]).alias("hashes"))
+    dealt = _dealt(rows.select(*by, "id", F.col("b.tbl").alias("tbl"), F.col("b.hash").alias("hash"), "tbls", "hashes"), keys, block)
+    scored = vectors is not None
+    if scored:
+        dealt = dealt.join(vectors.select("id", "vec"), "id")
+    # A row is a group, so that a batch holds many small ones.
+    groups = dealt.groupBy(*keys, "pair").agg(F.collect_list(F.struct("id", "part", "tbls", "hashes", *(["vec"] if scored else []))).alias("members"))
+    kinds = {c: signed.schema[c].dataType.simpleString() for c in by} | {"ref": signed.schema["id"].dataType.simpleString()}
+    shape = kinds | {"tgt": kinds["ref"], "first_table": "long"} | ({"similarity": "double"} if scored else {})
+
+    def run(batches):
+        for batch in batches:
+            lists, at = batch.column("members"), {n: i for i, n in enumerate(batch.schema.names)}
+            for row in range(batch.num_rows):
+                group, key = lists.slice(row, 1).flatten(), batch.slice(row, 1)
+                bucket, pair = (key.column(at["tbl"])[0].as_py(), key.column(at["hash"])[0].as_py()), key.column(at["pair"])[0].as_py()
+                ref, tgt, sim = _meeting(dict(zip((f.name for f in group.type), group.flatten(), strict=True)), bucket, pair["x"] == pair["y"], scored)
+                ids = group.field("id")
+                same = [key.column(at[c]).take(pa.array(np.zeros(len(ref), np.int64))) for c in by]
+                own = [*same, ids.take(pa.array(ref)), ids.take(pa.array(tgt)), pa.array(np.full(len(ref), bucket[0]))]
+                if len(ref):
+                    yield pa.RecordBatch.from_arrays([*own, *([pa.array(sim)] if scored else [])], list(shape))
+
+    found = groups.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in shape.items()))
+    return found.withColumn("first_table", F.col("first_table").cast(signed.schema["tbl"].dataType))
+
+
+def _meeting(group: dict[str, pa.Array], bucket: tuple[int, int], same: bool, scored: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (ref, tgt) of the pairs of a group (id, part, tbls, hashes, vec) that share no earlier bucket than this, and their
+    cosines: those within one part if same, else those of one part with the other."""
+    part = group["part"].to_numpy()
+    order = np.unique(group["id"].to_numpy(zero_copy_only=False), return_inverse=True)[1].reshape(-1)
+    a, b = np.flatnonzero(part == part.min()), np.flatnonzero(part > part.min())
+    met = np.ones((len(a), len(b)), bool)  # members of different parts have different ids
+    if same:
+        b, met = a, order[a][:, None] < order[a][None, :]
+    # Earlier buckets, numbered in the group and put in a member's own slots.
+    held = np.stack([group["tbls"].flatten().to_numpy(), group["hashes"].flatten().to_numpy()], 1)
+    member = np.repeat(np.arange(len(part)), np.diff(group["tbls"].offsets.to_numpy()))
+    early = (held[:, 0] < bucket[0]) | ((held[:, 0] == bucket[0]) & (held[:, 1] < bucket[1]))
+    member, held = member[early], held[early]
+    tables, tbl = np.unique(held[:, 0], return_inverse=True)
+    number = np.unique(held[:, 1], return_inverse=True)[1].reshape(-1) + len(held) * tbl
+    count = np.bincount(member, minlength=len(part))
+    # A slot for each table, unless repeated ids have several buckets of one.
+    plain = len(np.unique(member * len(tables) + tbl)) == len(member)
+    place = tbl if plain else np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
+    slots = np.full((len(part), int(place.max(initial=-1)) + 1), -1, np.int64)
+    slots[member, place] = number
+    for i in range(slots.shape[1]):
+        x = np.where(slots[a, i] < 0, -2, slots[a, i])[:, None]
+        for j in (i,) if plain else range(slots.shape[1]):
+            met &= x != slots[b, j][None, :]
+    u, v = np.nonzero(met)
+    u, v, sim = a[u], b[v], np.zeros(0)
+    if scored and len(u):
+        x = group["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+        square = (x * x).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = (x[a] @ x[b].T)[met] / np.sqrt(square[u] * square[v])
+        sim = np.where((square[u] <= 1e-12) | (square[v] <= 1e-12), 0.0, sim)
+    later = order[u] > order[v]
+    return np.where(later, v, u), np.where(later, u, v), sim
 
 
 def references(signed: DataFrame, vectors: DataFrame, least: float, by: list[str] | None = None, block: int = 512) -> DataFrame:
@@ -68,10 +147,7 @@ def references(signed: DataFrame, vectors: DataFrame, least: float, by: list[str
     group, which returns the best of each of its targets, so that neither a bucket nor its pairs are ever held whole.
     """
     keys = [*(by or []), "tbl", "hash"]
-    parts = signed.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).filter("parts > 0")
-    dealt = signed.join(parts, keys).withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
-    dealt = dealt.withColumn("pair", F.explode(met)).join(vectors.select("id", "vec"), "id")
+    dealt = _dealt(signed, keys, block).join(vectors.select("id", "vec"), "id")
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")

@@ -160,6 +160,35 @@ def test_references_as_all_pairs(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("scored", [False, True])
+@pytest.mark.parametrize("bits, copies", [(1, 0), (3, 30)])
+def test_candidates_once_each(spark, scored, bits, copies):
+    """Buckets of many parts, copies and a zero vector: each pair once, at its first table, without gathering pairs."""
+    rng = np.random.default_rng(bits)
+    x = rng.normal(0, 1, (90, 5)).round(2)
+    x[60 : 60 + copies], x[7] = x[60], 0
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    signed = similarity.signatures(vectors, 3, bits, 5).withColumn("g", F.when(F.col("id") % 2 == 0, "x").otherwise("y"))
+    signed = signed.union(signed.filter("id < 9"))
+    found = similarity.candidates(signed, ["g"], vectors if scored else None, block=8)
+    assert found.columns == ["g", "ref", "tgt", "first_table", *(["similarity"] if scored else [])]
+    assert "ref" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    held = {}
+    for r in signed.collect():
+        held.setdefault((r.g, r.id), set()).add((r.tbl, r.hash))
+    want = {(g, a, b): min(both)[0] for g, a in held for h, b in held if g == h and a < b and (both := held[g, a] & held[h, b])}
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.g, r.ref, r.tgt): r.first_table for r in rows} == want
+    for r in rows if scored else []:
+        long = np.sqrt((x[r.ref] @ x[r.ref]) * (x[r.tgt] @ x[r.tgt]))
+        assert abs(r.similarity - (x[r.ref] @ x[r.tgt] / long if long else 0.0)) < 1e-12
+
+
+def test_candidates_of_repeated_ids(spark):
+    signed = spark.createDataFrame([("a", 0, 1), ("a", 0, 2), ("b", 0, 2), ("b", 0, 1), ("b", 1, 5), ("c", 1, 5), ("d", 0, 9), ("e", None, 1)], "id string, tbl int, hash long")
+    assert sorted(map(tuple, similarity.candidates(signed).collect())) == [("a", "b", 0), ("b", "c", 1)]
+
+
 @pytest.mark.parametrize(("counts", "n"), [([1] * 10, 10), ([9000, *[1] * 30], 31), ([0, 0, 0, 100], 4), ([10**9, *[1] * 300], 301), ([0, 0], 2)])
 def test_frequencies(counts, n):
     f = entropy.frequencies(counts)
