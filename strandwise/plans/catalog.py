@@ -197,9 +197,8 @@ def lsh_candidates(spark, d):
 
 
 def cosine_pairs(spark, d):
-    pairs, v = lsh_candidates(spark, d), _vectors(spark, d)
-    rows = pairs.join(v.withColumnsRenamed({"id": "ref", "vec": "a"}), "ref").join(v.withColumnsRenamed({"id": "tgt", "vec": "b"}), "tgt")
-    return rows.select("ref", "tgt", F.round(arrays.cosine("a", "b"), 5).alias("similarity"))
+    rows = similarity.candidates(lsh_hash(spark, d), vectors=_vectors(spark, d))
+    return rows.select("ref", "tgt", F.round("similarity", 5).alias("similarity"))
 
 
 def block_graph(spark, d):
