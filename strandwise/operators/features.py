@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from ..config import CodecConfig
 from .scan import neighbours
 
+PIECE = 1 << 16  # values after which a worker hands blocks on
+
 
 def window_features(samples: DataFrame, win: int) -> DataFrame:
     """(series, win, n, energy, zcr): mean square and share of sign changes of each tumbling window."""
@@ -49,7 +53,9 @@ def _windows(samples: DataFrame, win: int) -> DataFrame:
     def magnitudes(col: pd.Series) -> pd.Series:
         return pd.Series([np.abs(np.fft.rfft(np.asarray(x, np.float64), size)) for x in col])
 
-    return items.select("series", "win", F.size("a").alias("n"), magnitudes(F.transform("a", lambda x: x["v"].cast("double"))).alias("m"))
+    # Else Spark filters by the result before it is exploded, and runs the function once more for that.
+    once = magnitudes.asNondeterministic()
+    return items.select("series", "win", F.size("a").alias("n"), once(F.transform("a", lambda x: x["v"].cast("double"))).alias("m"))
 
 
 def spectrum(samples: DataFrame, win: int) -> DataFrame:
@@ -61,16 +67,26 @@ def transform(blocks: DataFrame, inverse: bool = False) -> DataFrame:
     """blocks (re, im arrays of equal length) with their discrete Fourier transform, both padded with zeros to the next power
     of two; the inverse divides by the length. Null or empty arrays give empty ones."""
 
-    @F.pandas_udf("struct<re array<double>, im array<double>>")
-    def turned(re: pd.Series, im: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(re, im, strict=True):
-            x = np.asarray([] if a is None else a, np.float64) + 1j * np.asarray([] if b is None else b, np.float64)
-            y = (np.fft.ifft if inverse else np.fft.fft)(x, 1 << max(0, len(x) - 1).bit_length()) if len(x) else x
-            out.append((y.real, y.imag))
-        return pd.DataFrame(out, columns=["re", "im"])
+    def turn(a, b) -> tuple[np.ndarray, np.ndarray]:
+        x = np.asarray([] if a is None else a, np.float64) + 1j * np.asarray([] if b is None else b, np.float64)
+        y = (np.fft.ifft if inverse else np.fft.fft)(x, 1 << max(0, len(x) - 1).bit_length()) if len(x) else x
+        return y.real, y.imag
 
-    return blocks.withColumn("t_", turned("re", "im")).withColumn("re", F.col("t_.re")).withColumn("im", F.col("t_.im")).drop("t_")
+    @F.pandas_udf("struct<re array<double>, im array<double>>")
+    def turned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for re, im in batches:
+            out, held = [], 0
+            for a, b in zip(re, im, strict=True):
+                out.append(turn(a, b))
+                held += len(out[-1][0])
+                if held >= PIECE:  # handed on as soon as some are there, whatever the batch
+                    yield pd.DataFrame(out, columns=["re", "im"])
+                    out, held = [], 0
+            if out or not len(re):
+                yield pd.DataFrame(out, columns=["re", "im"])
+
+    # Else Spark filters by the result before it is exploded, and runs the function once more for that.
+    return blocks.withColumn("t_", turned.asNondeterministic()("re", "im")).withColumn("re", F.col("t_.re")).withColumn("im", F.col("t_.im")).drop("t_")
 
 
 def flux(samples: DataFrame, win: int) -> DataFrame:

@@ -12,10 +12,20 @@ from . import codec
 
 SMALL = CodecConfig(min_block=64, max_block=512, energy_threshold=0.5, zcr_threshold=0.2, flux_threshold=4000.0, wavelet_levels=3, max_harmonics=4, slice_len=4096, lsh_tables=2, lsh_bits=6)
 ATOMS = 16
+BATCH = 4 << 20
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table, in a session whose Arrow batches are BATCH bytes unless the caller has chosen a limit: a Python worker holds
+    each batch whole, several times over, and blocks of samples are long rows. Only queries set this."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == "67108864b":  # Spark's default
+        spark.conf.set(limit, str(BATCH))
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/events.parquet")
+    return _table(spark, d, "events")
 
 
 def _signal(spark: SparkSession, d: str, key: str = "user_id") -> DataFrame:
@@ -34,7 +44,7 @@ def _sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
 def _atoms(spark: SparkSession, d: str) -> DataFrame:
