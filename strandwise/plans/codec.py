@@ -21,6 +21,7 @@ from ..sources import wav
 CONTEXT = ["series", "band", "kind", "plane"]
 RUNS, VALUES, PLANES = 0, 1, 2
 TOP_PLANE = 24  # planes from here on share a context
+PIECE = 1 << 18  # values after which a worker hands streams on
 Progress = Callable[[float, str], None]
 
 
@@ -95,20 +96,31 @@ def streams(blocks: DataFrame, cfg: CodecConfig) -> DataFrame:
     kind = f"series {blocks.schema['series'].dataType.simpleString()}, seg {blocks.schema['seg'].dataType.simpleString()}"
     shape = f"{kind}, band int, kind int, p int, n long, planes int, z array<long>"
 
+    def rows(series, seg, bands):
+        for band, c in enumerate(bands):
+            at = np.flatnonzero(c)
+            z = ((c[at] << 1) ^ (c[at] >> 63)).view(np.uint64)
+            planes = int(bit_lengths(z).max(initial=0)) if cfg.bitplane else 0
+            yield series, seg, band, RUNS, 0, len(at), planes, np.diff(at, prepend=-1, append=len(c)) - 1
+            if cfg.bitplane:
+                for p in range(planes):
+                    yield series, seg, band, PLANES, p, len(at), planes, ((z >> np.uint64(planes - 1 - p)) & np.uint64(1)).view(np.int64)
+            elif len(at):
+                yield series, seg, band, VALUES, 0, len(at), 0, z.view(np.int64)
+
     def run(batches):
+        # Streams take up to 64 times their samples' room, so they go on as soon as some are there, whatever the batch.
+        frame = lambda out: pd.DataFrame(out, columns=["series", "seg", "band", "kind", "p", "n", "planes", "z"])
         for batch in batches:
-            out = []
-            for series, seg, bands in zip(batch.series, batch.seg, batch.bands, strict=True):
-                for band, c in enumerate(bands):
-                    at = np.flatnonzero(c)
-                    z = ((c[at] << 1) ^ (c[at] >> 63)).view(np.uint64)
-                    planes = int(bit_lengths(z).max(initial=0)) if cfg.bitplane else 0
-                    out.append((series, seg, band, RUNS, 0, len(at), planes, np.diff(at, prepend=-1, append=len(c)) - 1))
-                    if cfg.bitplane:
-                        out += [(series, seg, band, PLANES, p, len(at), planes, ((z >> np.uint64(planes - 1 - p)) & np.uint64(1)).view(np.int64)) for p in range(planes)]
-                    elif len(at):
-                        out.append((series, seg, band, VALUES, 0, len(at), 0, z.view(np.int64)))
-            yield pd.DataFrame(out, columns=["series", "seg", "band", "kind", "p", "n", "planes", "z"])
+            out, held = [], 0
+            for block in zip(batch.series, batch.seg, batch.bands, strict=True):
+                for row in rows(*block):
+                    out.append(row)
+                    held += len(row[-1])
+                    if held >= PIECE:
+                        yield frame(out)
+                        out, held = [], 0
+            yield frame(out)
 
     return blocks.select("series", "seg", wavelet.decompose_blocks(cfg.wavelet_levels)("samples").alias("bands")).mapInPandas(run, shape)
 
@@ -197,7 +209,8 @@ def assemble(parts: DataFrame) -> DataFrame:
             out.append(own)
         return pd.Series(out)
 
-    return items.select("series", "seg", wavelet.compose_blocks()(bands("a")).alias("samples"))
+    # Else Spark filters by the samples before they are exploded, and runs both functions once more for that.
+    return items.select("series", "seg", wavelet.compose_blocks().asNondeterministic()(bands.asNondeterministic()("a")).alias("samples"))
 
 
 def encode(samples: DataFrame, cfg: CodecConfig, rate: int = 44_100, progress: Progress | None = None) -> Frames:

@@ -253,6 +253,38 @@ def test_segments_cover(spark):
         assert all(n <= 256 for _, n in own) and all(n >= 64 for _, n in own[:-1])
 
 
+def test_transform_runs_once_and_in_pieces(spark, monkeypatch):
+    """Exploding the result doesn't run the functions again, and pieces of a batch are the whole."""
+    monkeypatch.setattr(features, "PIECE", 8)
+    data = [(i, list(map(float, range(i % 7))), [0.0] * (i % 7)) for i in range(40)] + [(99, None, None)]
+    blocks = spark.createDataFrame(data, "id long, re array<double>, im array<double>")
+    back = features.transform(features.transform(blocks), inverse=True).select("id", F.posexplode("re").alias("pos", "x"))
+    assert back._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    got = {(r.id, r.pos): r.x for r in back.collect()}
+    want = {(i, p): float(p) if p < i % 7 else 0.0 for i in range(40) if i % 7 for p in range(1 << (i % 7 - 1).bit_length())}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_streams_leave_a_worker_in_pieces(spark, monkeypatch):
+    """A batch's streams, many times its samples, are never held whole."""
+    held = []
+    monkeypatch.setattr(pd, "DataFrame", lambda out, columns: held.append(sum(len(r[-1]) for r in out)) or out)
+    monkeypatch.setattr(codec, "PIECE", 100)
+    bands = [[np.arange(50) * 10**9] for _ in range(20)]
+
+    class Blocks:
+        schema = {"series": spark.range(1).schema["id"], "seg": spark.range(1).schema["id"]}
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, shape):
+            return list(run([type("Batch", (), {"series": range(20), "seg": range(20), "bands": bands})]))
+
+    pieces = codec.streams(Blocks(), CodecConfig.best())
+    assert max(held) < 200 and sum(held) > 20 * 50 * 30 and len({r[0] for p in pieces for r in p}) == 20
+
+
 def test_chains_restore(spark):
     base = random_series(5, *[16] * 9)
     blocks = spark.createDataFrame([(k, v) for k, v in base.items()], "id long, samples array<long>")
