@@ -120,8 +120,8 @@ def segments(edges: DataFrame, lengths: DataFrame, cfg: CodecConfig) -> DataFram
     marks = edges.filter("edge").groupBy("series").agg(F.sort_array(F.collect_list("win")).alias("marks"))
     rows = lengths.join(marks, "series", "left")
 
-    @F.pandas_udf("array<long>")
-    def starts(marks: pd.Series, n: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<offset array<long>, length array<long>>")
+    def cuts(marks: pd.Series, n: pd.Series) -> pd.DataFrame:
         out = []
         for edge, total in zip(marks, n, strict=True):
             edge, at, own = np.asarray(edge if edge is not None else [], np.int64) * win, 0, []
@@ -129,8 +129,11 @@ def segments(edges: DataFrame, lengths: DataFrame, cfg: CodecConfig) -> DataFram
                 own.append(at)
                 i = np.searchsorted(edge, at + max(cfg.min_block, win))
                 at = min(int(edge[i]) if i < len(edge) else total, at + cfg.max_block)
-            out.append(own)
-        return pd.Series(out)
-
-    rows = rows.select("series", "n", starts("marks", "n").alias("s"))
-    return rows.select("series", "n", "s", F.posexplode("s").alias("seg", "offset")).select("series", "seg", "offset", (F.coalesce(F.expr("try_element_at(s, seg + 2)"), F.col("n")) - F.col("offset")).alias("length"))
+            out.append((np.array(own, np.int64), np.diff(np.array(own, np.int64), append=total)))
+        return pd.DataFrame(out, columns=["offset", "length"])
+
+    # Else Spark filters by the result before it is exploded, and runs the function once more for that. A row takes its own
+    # offset and length along, not its series' array.
+    rows = rows.select("series", cuts.asNondeterministic()("marks", "n").alias("s"))
+    both = F.zip_with("s.offset", "s.length", lambda offset, length: F.struct(offset.alias("offset"), length.alias("length")))
+    return rows.select("series", F.posexplode(both).alias("seg", "e")).select("series", "seg", "e.offset", "e.length")

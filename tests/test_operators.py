@@ -1,3 +1,4 @@
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -253,6 +254,19 @@ def test_segments_cover(spark):
         assert all(n <= 256 for _, n in own) and all(n >= 64 for _, n in own[:-1])
 
 
+def test_segments_run_once_without_arrays(spark):
+    """The choice isn't run again where it is exploded, and no row of a segment carries its series' array."""
+    edges = spark.createDataFrame([(0, w, w % 3 == 0) for w in range(9)] + [(1, 0, False)], "series long, win long, edge boolean")
+    lengths = spark.createDataFrame([(0, 600), (1, 5), (2, 0)], "series long, n long")
+    seg = features.segments(edges, lengths, CodecConfig(min_block=64, max_block=256))
+    plan = seg._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    carried = re.search(r"Generate posexplode\(.*\), \[([^]]*)\], false", plan)[1]
+    assert [c.split("#")[0] for c in carried.split(", ")] == ["series"]
+    want = [(0, i, o, n) for i, (o, n) in enumerate([(0, 192), (192, 192), (384, 216)])] + [(1, 0, 0, 5)]
+    assert sorted(map(tuple, seg.collect())) == want
+
+
 def test_transform_runs_once_and_in_pieces(spark, monkeypatch):
     """Exploding the result doesn't run the functions again, and pieces of a batch are the whole."""
     monkeypatch.setattr(features, "PIECE", 8)
