@@ -79,7 +79,7 @@ def analyse(blocks: DataFrame, count: int, rate: int) -> DataFrame:
             out.append(model)
         return pd.DataFrame(out, columns=["w", "amplitudes", "phases"])
 
-    return blocks.withColumn("model", fit("samples"))
+    return blocks.withColumn("model", fit.asNondeterministic()("samples"))
 
 
 def _shift(sign: int):
@@ -91,7 +91,8 @@ def _shift(sign: int):
             out.append(x if a_ is None or not len(a_) else x + sign * synthesise(len(x), float(w_), np.asarray(a_, float), np.asarray(p_, float)))
         return pd.Series(out)
 
-    return moved
+    # Else Spark filters by the samples before they are exploded, and runs this and the fit once more for that.
+    return moved.asNondeterministic()
 
 
 def residual(modelled: DataFrame) -> DataFrame:

@@ -49,7 +49,9 @@ def signatures(vectors: DataFrame, tables: int, bits: int, dims: int, scale: flo
         return pd.Series(list((signs << np.arange(bits)).sum(2)))
 
     whole = F.transform("vec", lambda x: F.round(x.cast("double") * scale).cast("long"))
-    rows = vectors.filter((F.size("vec") == dims) & ~F.exists("vec", lambda x: x.isNull())).select("id", hashed(whole).alias("h"))
+    # Else Spark filters by the result before it is exploded, and runs the function once more for that.
+    once = hashed.asNondeterministic()
+    rows = vectors.filter((F.size("vec") == dims) & ~F.exists("vec", lambda x: x.isNull())).select("id", once(whole).alias("h"))
     return rows.select("id", F.posexplode("h").alias("tbl", "hash"))
 
 

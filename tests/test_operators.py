@@ -299,6 +299,18 @@ def test_streams_leave_a_worker_in_pieces(spark, monkeypatch):
     assert max(held) < 200 and sum(held) > 20 * 50 * 30 and len({r[0] for p in pieces for r in p}) == 20
 
 
+def test_models_and_signatures_run_once(spark):
+    """Exploding samples or signatures doesn't run their functions again."""
+    df = spark.createDataFrame([(0, [(i * i) % 97 for i in range(64)]), (1, [5])], "id long, samples array<long>")
+    back = harmonic.reconstruct(harmonic.residual(harmonic.analyse(df, 4, 1000))).select("id", F.posexplode("samples").alias("pos", "v"))
+    assert back._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 3
+    assert {(r.id, r.pos): r.v for r in back.collect()} == {(0, i): (i * i) % 97 for i in range(64)} | {(1, 0): 5}
+    vectors = df.filter("id = 0").select("id", F.transform("samples", lambda x: x.cast("double")).alias("vec"))
+    signed = similarity.signatures(vectors, 2, 6, 64)
+    assert signed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.tbl for r in signed.collect()) == [0, 1]
+
+
 def test_chains_restore(spark):
     base = random_series(5, *[16] * 9)
     blocks = spark.createDataFrame([(k, v) for k, v in base.items()], "id long, samples array<long>")
